@@ -8,6 +8,8 @@ containment.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,12 +141,9 @@ def rules() -> list[tuple[str, str, str, int, float, bool]]:
 
 
 def _rule_table() -> Column:
-    return F.array(
-        *(
-            F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?<= ){e}(?= )").alias("regex"), F.lit(p).alias("priority"), F.lit(w).alias("weight"), F.lit(b).alias("base"))
-            for a, k, e, p, w, b in rules()
-        )
-    )
+    """All rules as one constant."""
+    rows = [{"label": a, "keyword": k, "regex": f"(?<= ){e}(?= )", "priority": p, "weight": w, "base": b} for a, k, e, p, w, b in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keyword:string,regex:string,priority:int,weight:double,base:boolean>>")
 
 
 def _spaces(text: Column) -> Column:
