@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, quality_rules, resampling, substring_dedup
+from . import chat_format, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, packing, quality_rules, resampling, substring_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -148,3 +148,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
