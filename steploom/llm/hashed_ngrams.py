@@ -78,11 +78,17 @@ def trusted(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
     return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_target)
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, add-one smoothed; zeros without a target."""
+def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = 5.0) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; zeros without a target.
+
+    p_raw is add-one smoothed. p_target is p_raw times the ratio of observed to expected target counts, both with
+    ``prior`` counts added, and normalised: a bucket that is too rare for the target to have seen it stays near 0.
+    """
     if not target.sum():
         return np.zeros(len(raw))
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    p_raw = (raw + 1) / (raw.sum() + len(raw))
+    ratio = (target + prior) / (target.sum() * p_raw + prior)
+    return np.log(ratio / (p_raw * ratio).sum())
 
 
 def scores(data: np.ndarray, bounds: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

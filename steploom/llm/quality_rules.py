@@ -14,7 +14,7 @@ from . import hashed_ngrams
 from .tokens import IS_SPACE, Words, mix, slices, texts
 
 #: Mean log ratio per n-gram under which a document is rejected.
-THRESHOLD = -0.3
+THRESHOLD = -0.5
 IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, llr double, kept boolean"
 
@@ -50,6 +50,31 @@ def repeated_words(words: Words, size: int = 3) -> np.ndarray:
     return np.bincount(doc[np.cumsum(marks)[:-1] > 0], minlength=len(words.counts))
 
 
+def verdicts(column: pa.Array, ratios: np.ndarray, threshold: float) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first text, end, columns of SCHEMA after the id) for runs of texts."""
+    data, bounds = texts(column)
+    for a, b in slices(bounds):
+        part, edges = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+        words = Words(part, edges)
+        chars = ((part & 0xC0) != 0x80) & ~IS_SPACE[part]
+        n_words, repeats = words.counts, repeated_words(words)
+        sums, grams = hashed_ngrams.scores(part, edges, ratios)
+        llr = sums / np.maximum(grams, 1)
+        failed = (n_words < 50) | (100 * repeats > 50 * n_words)
+        lines = repeated_lines(column.slice(a, b - a))
+        yield a, b, [n_words, _per_text(chars, edges), _per_text(IS_SYMBOL[part], edges), lines, repeats, failed, llr, ~failed & (llr >= threshold)]
+
+
+def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(flags)))[edges])
+
+
+def _ratios(docs: DataFrame, labels: DataFrame, max_target: int, id_col: str, text_col: str):
+    """The model as a broadcast of 2**BUCKET_BITS numbers."""
+    target, raw = hashed_ngrams.counts(docs, hashed_ngrams.trusted(labels, max_target), id_col, text_col)
+    return docs.sparkSession.sparkContext.broadcast(hashed_ngrams.log_ratios(target, raw))
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target: int = hashed_ngrams.MAX_TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with the counts, the mean log ratio and the verdict.
 
@@ -59,29 +84,27 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     Null and empty texts have no words and fail; null ids stay null; rows that repeat are judged each alike; extra
     columns are ignored; an empty table gives an empty result.
     """
-    target, raw = hashed_ngrams.counts(docs, hashed_ngrams.trusted(labels, max_target), id_col, text_col)
-    ratios = docs.sparkSession.sparkContext.broadcast(hashed_ngrams.log_ratios(target, raw))  # 2**BUCKET_BITS numbers
+    ratios = _ratios(docs, labels, max_target, id_col, text_col)
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            data, bounds = texts(column)
-            for a, b in slices(bounds):
-                part, edges = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                words = Words(part, edges)
-                at = np.append(edges[:-1], len(part))
-                chars = (~((part & 0xC0) == 0x80)) & ~IS_SPACE[part]
-                add = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[at])  # noqa: B023, E731
-                n_words, repeats = words.counts, repeated_words(words)
-                sums, grams = hashed_ngrams.scores(part, edges, ratios.value)
-                llr = sums / np.maximum(grams, 1)
-                failed = (n_words < 50) | (100 * repeats > 50 * n_words)
-                columns = [n_words, add(chars), add(IS_SYMBOL[part]), repeated_lines(column.slice(a, b - a)), repeats, failed, llr, ~failed & (llr >= threshold)]
-                types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                    names=[f.split()[0] for f in SCHEMA.split(", ")],
-                )
+            for a, b, columns in verdicts(batch.column(1), ratios.value, threshold):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns, types)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(per_batch, SCHEMA)
 
+
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target: int = hashed_ngrams.MAX_TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns and without a shuffle."""
+    ratios = _ratios(docs, labels, max_target, id_col, text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_of = batch.column(batch.num_columns - 1)
+            kept = [columns[-1] for _, _, columns in verdicts(texts_of, ratios.value, threshold)]
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield own.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
+
+    return docs.select("*", F.coalesce(text_col, F.lit("")).alias("judged_text")).mapInArrow(keep, docs.schema)
