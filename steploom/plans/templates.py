@@ -162,5 +162,18 @@ TOOLS: list[tuple] = [
     ("bash", None, "mktemp -d", None, False, None, False, "x", "file-cleanup", False),
     ("bash", None, "npm ls", None, False, None, False, "x", "install-deps", False),
     ("bash", None, "frobnicate", None, False, None, True, "no", "bash-command(failed)", False),
+    ("bash", None, "gh issue close 3", None, False, None, False, "closed", "git-github-context", False),
+    ("bash", None, "gh pr merge 4", None, False, None, False, "merged", "git-github-context", False),
+    ("bash", None, "gh issue comment 5 -b fixed", None, False, None, False, "ok", "git-github-context", False),
+    ("bash", None, "git commit -m x", None, False, None, False, "1 file", "git-local-state-change", False),
     ("bash", None, "npx tsx demo.ts", None, False, None, False, "x", "run-repro-script", False),
 ]
+#: Intents of the calls that differ when a call has no result, by (name, path, command, is_error).
+NO_RESULT = {
+    ("read", "/r/b.ts", None, False): "read-file-full",
+    ("read", "/r/no.ts", None, True): "read-file-full",
+    ("edit", "/r/a.ts", None, True): "edit-source",
+    ("edit", "/r/verify.ts", None, True): "edit-test-or-repro",
+    ("mystery", None, None, True): "bash-other",
+    ("bash", None, "frobnicate", True): "bash-other",
+}
