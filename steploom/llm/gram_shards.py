@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from .tokens import U64
 
 #: Hashes of a shard, about.
-SHARD_HASHES = 6_000_000
+SHARD_HASHES = 3_000_000
 #: Frequent sequences, at most: those with over 1 / MAX_HOT of all hashes in the sample.
 MAX_HOT = 20_000
 SAMPLE = 16
 MIN_SAMPLE_COUNT = 24
 #: Bytes of text behind one block for each shard.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def shard_count(docs: DataFrame, text_col: str = "text") -> int:
@@ -56,7 +56,7 @@ def in_sorted(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (((hashes >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
+    return (((hashes >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int32)
 
 
 def split(hashes: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,7 +91,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBa
 def joined(table: pa.Table, column: str, dtype) -> np.ndarray:
     """All values of a column of packed arrays."""
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in table[column]]
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
+    return np.concatenate(parts) if parts else np.empty(0, dtype)  # a copy, so it can be changed
 
 
 def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:

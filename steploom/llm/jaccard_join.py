@@ -15,13 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import components, drop_table, materialise
+from .common import components, materialise
 from .tokens import U64, Words, batches, mix, slices, texts
 
 SIZE, NUM, DEN = 4, 85, 100
 FRAGMENTS = 8
-#: Rounds in which each group of candidates is compared with one of them only.
-STAR_ROUNDS = 2
 
 
 def document_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +80,23 @@ def _sets(size: int):
 
 
 BLOCKS = "shard int, nodes binary, sizes binary, counts binary, hashes binary"
-REPLIES = "node binary, n bigint, grams binary, freqs binary"
+REPLIES = "bucket int, nodes binary, sizes binary, counts binary, grams binary, freqs binary"
 
 
-def _reply(nodes: np.ndarray, sizes: np.ndarray, edges: np.ndarray, grams: np.ndarray, freqs: np.ndarray) -> pa.RecordBatch:
-    k = len(sizes)
-    return pa.RecordBatch.from_arrays(
-        [G.packed(nodes.reshape(-1), 2 * np.arange(k + 1)), pa.array(sizes.astype(np.int64)), G.packed(grams, edges), G.packed(freqs.astype(np.uint32), edges)],
-        names=["node", "n", "grams", "freqs"],
-    )
+def _replies(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, grams: np.ndarray, freqs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs of n-grams, one run for each node, as one row for each bucket of nodes."""
+    to = G.shard_of(nodes[:, 0], buckets)
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[order], prepend=-1))
+    starts = np.cumsum(counts) - counts
+    rows = []
+    for part in np.split(order, edges[1:]):
+        n = counts[part]
+        at = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((int(to[part[0]]), nodes[part].tobytes(), sizes[part].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), grams[at].tobytes(), freqs[at].astype(np.uint32).tobytes()))
+    types = [pa.int32()] + [pa.binary()] * 5
+    names = [x.split()[0] for x in REPLIES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def _send(size: int, shards: int, hot: np.ndarray):
@@ -127,31 +133,42 @@ def _send(size: int, shards: int, hot: np.ndarray):
     return send
 
 
-def _merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(buckets: int):
     """For each node its n-grams in this shard that a second node has, with their number of nodes."""
-    for table in G.runs(rows, "shard"):
-        nodes = G.joined(table, "nodes", U64).reshape(-1, 2)
-        sizes, counts, hashes = G.joined(table, "sizes", np.uint32), G.joined(table, "counts", np.uint32).astype(np.int64), G.joined(table, "hashes", U64)
-        # Equal sets from different tasks are one node; they hold equal hashes here, and the first stands for all.
-        _, first = np.unique(nodes, axis=0, return_index=True)
-        stands = np.zeros(len(nodes), bool)
-        stands[first] = True
-        owner = np.repeat(np.arange(len(nodes)), counts)
-        use = stands[owner]
-        owner, hashes = owner[use], hashes[use]
-        order = np.argsort(hashes)
-        edge = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(hashes) else np.empty(0, np.int64)
-        freq = np.empty(len(hashes), np.int64)
-        freq[order] = np.repeat(np.diff(np.append(edge, len(hashes))), np.diff(np.append(edge, len(hashes))))
-        shared = freq > 1
-        owner, hashes, freq = owner[shared], hashes[shared], freq[shared]
-        if len(owner):
-            heads = np.flatnonzero(np.diff(owner, prepend=-1))
-            who = owner[heads]
-            yield _reply(nodes[who], sizes[who], np.append(heads, len(owner)), hashes, freq)
-
-
-def _hot_replies(size: int, hot: np.ndarray):
+
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in G.runs(rows, "shard"):
+            nodes = G.joined(table, "nodes", U64).reshape(-1, 2)
+            sizes, counts = G.joined(table, "sizes", np.uint32), G.joined(table, "counts", np.uint32).astype(np.int64)
+            hashes = G.joined(table, "hashes", U64)
+            del table
+            # Equal sets from different tasks are one node; they hold equal hashes here, and the first stands for all.
+            _, first = np.unique(nodes, axis=0, return_index=True)
+            stands = np.zeros(len(nodes), bool)
+            stands[first] = True
+            owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+            use = stands[owner]
+            owner, hashes = owner[use], hashes[use]
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes).astype(np.int32)
+            ordered = hashes[order]
+            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            del ordered
+            runs = np.diff(np.append(edge, len(hashes))).astype(np.int32)
+            freq = np.empty(len(hashes), np.int32)
+            freq[order] = np.repeat(runs, runs)
+            shared = freq > 1
+            owner, hashes, freq = owner[shared], hashes[shared], freq[shared]
+            if len(owner):
+                heads = np.flatnonzero(np.diff(owner, prepend=-1))
+                who = owner[heads]
+                yield _replies(nodes[who], sizes[who], np.diff(np.append(heads, len(owner))), hashes, freq, buckets)
+
+    return merge
+
+
+def _hot_replies(size: int, hot: np.ndarray, buckets: int):
     """The frequent n-grams of each node; they share the last place of the global order."""
 
     def replies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +176,15 @@ def _hot_replies(size: int, hot: np.ndarray):
             for a, b, words in batches(batch.column(0), lower=True):
                 hashes, doc = document_sets(words, size)
                 n, prints = fingerprints(hashes, doc, b - a)
-                use = G.in_sorted(hashes, hot)[0]
+                _, once = np.unique(prints, axis=0, return_index=True)
+                first = np.zeros(len(n), bool)
+                first[once] = True
+                use = first[doc] & G.in_sorted(hashes, hot)[0]
                 hashes, doc = hashes[use], doc[use]
                 if len(doc):
                     heads = np.flatnonzero(np.diff(doc, prepend=-1))
-                    yield _reply(prints[doc[heads]], n[doc[heads]], np.append(heads, len(doc)), hashes, np.full(len(doc), 2**32 - 1, np.uint32))
+                    who = doc[heads]
+                    yield _replies(prints[who], n[who], np.diff(np.append(heads, len(doc))), hashes, np.full(len(doc), 2**32 - 1, np.uint32), buckets)
 
     return replies
 
@@ -171,23 +192,29 @@ def _hot_replies(size: int, hot: np.ndarray):
 ORDERED = "node binary, n bigint, shared bigint, grams array<bigint>, freqs array<bigint>"
 
 
-def _ordered(num: int, den: int):
-    """Shared n-grams of each node in the global order, if there are enough of them for any link."""
+def _gather(num: int, den: int):
+    """The shared n-grams of each node in the global order, if there are enough of them for any link."""
 
-    def ordered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            out = []
-            for node, n, grams, freqs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                g = np.concatenate([np.frombuffer(x, U64) for x in grams])
-                f = np.concatenate([np.frombuffer(x, np.uint32) for x in freqs])
-                if den * len(g) >= num * n:
-                    order = np.lexsort((g, f))
-                    out.append((node, n, len(g), g[order].view(np.int64), f[order].astype(np.int64)))
-            if out:
-                types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["node", "n", "shared", "grams", "freqs"])
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in G.runs(rows, "bucket"):
+            nodes, sizes = G.joined(table, "nodes", U64).reshape(-1, 2), G.joined(table, "sizes", np.uint32).astype(np.int64)
+            counts, grams, freqs = G.joined(table, "counts", np.uint32).astype(np.int64), G.joined(table, "grams", U64), G.joined(table, "freqs", np.uint32)
+            known, at, which = np.unique(nodes, axis=0, return_index=True, return_inverse=True)
+            owner = np.repeat(which.reshape(-1), counts)
+            order = np.lexsort((grams, freqs, owner))
+            owner, grams, freqs = owner[order], grams[order], freqs[order]
+            new = np.ones(len(owner), bool)  # frequent n-grams of equal sets come from several tasks
+            new[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
+            owner, grams, freqs = owner[new], grams[new], freqs[new]
+            n, shared = sizes[at], np.bincount(owner, minlength=len(known))
+            keep = den * shared >= num * n
+            use = keep[owner]
+            edges = np.append(0, np.cumsum(shared[keep]))
+            lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v)) for v in (grams[use].view(np.int64), freqs[use].astype(np.int64))]
+            node = G.packed(np.ascontiguousarray(known[keep]).reshape(-1), 2 * np.arange(keep.sum() + 1))
+            yield pa.RecordBatch.from_arrays([node, pa.array(n[keep]), pa.array(shared[keep].astype(np.int64)), *lists], names=["node", "n", "shared", "grams", "freqs"])
 
-    return ordered
+    return gather
 
 
 def _linked(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
@@ -220,14 +247,11 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
     hot = G.hot_hashes(rows, _hashes(size), "id")
     only_text = rows.select("text")
     blocks = only_text.mapInArrow(_send(size, shards, hot), BLOCKS).repartition(shards, "shard").sortWithinPartitions("shard")
-    replies = materialise(blocks.mapInArrow(_merge, REPLIES), "shared")
-    told = replies
+    told = blocks.mapInArrow(_merge(shards), REPLIES)
     if len(hot):
-        frequent = only_text.mapInArrow(_hot_replies(size, hot), REPLIES).dropDuplicates(["node"])
-        told = replies.unionByName(frequent)
-    gathered = told.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("freqs").alias("freqs"))
-    nodes = materialise(gathered.mapInArrow(_ordered(num, den), ORDERED), "ordered")
-    drop_table(replies)
+        told = told.unionByName(only_text.mapInArrow(_hot_replies(size, hot, shards), REPLIES))
+    told = told.repartition(shards, "bucket").sortWithinPartitions("bucket")
+    nodes = materialise(told.mapInArrow(_gather(num, den), ORDERED), "ordered")
     links = _links(nodes, fragments, num, den)
     labels = components(sets.select("node").where("n > 0").distinct(), links)
     named = sets.where("n > 0").join(labels, "node")
@@ -251,18 +275,13 @@ def _links(nodes: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
     cells = nodes.select("node", "n", F.explode(F.arrays_zip("grams", "freqs")).alias("x")).select("node", "n", F.col("x.grams").alias("g"), F.col("x.freqs").alias("f"))
     parts = cells.groupBy("node", "n", (coarse * 2 + F.when(F.col("g") < 0, 0).otherwise(1)).alias("fragment")).agg(F.collect_list("g").alias("grams"))
     parts = materialise(parts, "fragments")
-    found = None
-    labels = heads.select("node").distinct().select("node", F.col("node").alias("comp"))
-    for _ in range(STAR_ROUNDS):
-        now = heads.join(labels, "node")
-        best = now.groupBy("gram").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "node", "n", "comp")).alias("top"), F.countDistinct("comp").alias("k"))
-        star = now.join(best.where("k > 1"), "gram").where("comp <> top.comp").where(_near(F.col("n"), F.col("top.n"), num, den))
-        pairs = star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
-        new = materialise(overlaps(pairs, parts, num, den), "links")
-        found = new if found is None else found.unionByName(new)
-        labels = materialise(components(heads.select("node").distinct(), found), "labels")
-    rest = _rest(heads, labels, num, den)
-    return found.unionByName(overlaps(rest, parts, num, den))
+    # First each group of candidates is compared with its most central member only.
+    best = heads.groupBy("gram").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "node", "n")).alias("top"), F.count("*").alias("k"))
+    star = heads.join(best.where("k > 1"), "gram").where("node <> top.node").where(_near(F.col("n"), F.col("top.n"), num, den))
+    pairs = star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+    found = materialise(overlaps(pairs, parts, num, den), "links")
+    labels = materialise(components(heads.select("node").distinct(), found), "labels")
+    return found.unionByName(overlaps(_rest(heads, labels, num, den), parts, num, den))
 
 
 def _near(a: Column, b: Column, num: int, den: int) -> Column:
@@ -275,11 +294,17 @@ def _rest(heads: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     sizes = now.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("gram", F.col("top.comp").alias("top"))
     live = materialise(now.join(top, "gram"), "live")
-    x = live.where("comp <> top").select("gram", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("shared").alias("s_x"), F.col("at").alias("at_x"), F.col("comp").alias("c_x"))
-    y = live.select("gram", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("shared").alias("s_y"), F.col("at").alias("at_y"), F.col("comp").alias("c_y"))
+    # The smaller set of a pair needs a shorter prefix: n - ceil(2t / (1 + t) * n) + 1, as the other isn't smaller.
+    short = F.col("shared") - F.ceil(F.col("n") * F.lit(2 * num) / F.lit(den + num)) + 1
+    live = live.withColumn("short", F.col("at") < short)
+    side = lambda df, k: df.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "shared", "at", "comp", "short")))
+    x, y = side(live.where("comp <> top"), "x"), side(live, "y")
+    smaller_x = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     # What can still overlap: before the common n-gram no more than the shorter head, after it no more than the shorter tail.
-    most = F.least("at_x", "at_y") + F.least(F.col("s_x") - F.col("at_x"), F.col("s_y") - F.col("at_y"))
-    pairs = x.join(y, "gram").where("c_x <> c_y").where(_near(F.col("n_x"), F.col("n_y"), num, den)).where(_linked(most, F.col("n_x"), F.col("n_y"), num, den))
+    most = F.least("at_x", "at_y") + F.least(F.col("shared_x") - F.col("at_x"), F.col("shared_y") - F.col("at_y"))
+    pairs = x.join(y, "gram").where("comp_x <> comp_y").where(F.when(smaller_x, F.col("short_x")).otherwise(F.col("short_y")))
+    pairs = pairs.where(_near(F.col("n_x"), F.col("n_y"), num, den)).where(_linked(most, F.col("n_x"), F.col("n_y"), num, den))
+    pairs = pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
