@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.text import command_signature as signature_of
+from ..functions.text import git_subcommand as subcommand_of
+from ..functions.text import strip_wrappers, unwrap_command
 from ..operators import marts, pairing, sequences
 from . import fixtures
 from .fixtures import BASE_SQL
+from .templates import GIT, SIGNATURES, STEPS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -478,3 +482,17 @@ def cleanup_decomposition(spark, sf_dir):
 @query("select model, regexp_replace(repo, '^.*/', '') as place, count(*) as n from runs group by 1, 2")
 def repo_of_instance(spark, sf_dir):
     return fixtures.runs(spark, sf_dir).groupBy("model", F.substring_index("repo", "/", -1).alias("place")).agg(F.count("*").alias("n"))
+
+
+_SIGNED = dims.values_sql([(k, SIGNATURES.get(a, " ".join((a or "").split("\n")[0].lower().split())), GIT.get(a, "")) for k, (a, *_) in enumerate(STEPS)])
+
+
+@query(f", sg(tpl, signature, git) as ({_SIGNED}) select run_id, step_idx, signature from steps join sg using (tpl)")
+def command_signature(spark, sf_dir):
+    return fixtures.steps(spark, sf_dir).select("run_id", "step_idx", signature_of(F.col("action")).alias("signature"))
+
+
+@query(f", sg(tpl, signature, git) as ({_SIGNED}) select model, git, count(*) as n from steps join sg using (tpl) where git <> '' group by 1, 2")
+def git_subcommand(spark, sf_dir):
+    found = F.explode(F.array(subcommand_of(strip_wrappers(unwrap_command(F.col("action"))))))
+    return fixtures.steps(spark, sf_dir).select("model", found.alias("git")).where("git <> ''").groupBy("model", "git").agg(F.count("*").alias("n"))

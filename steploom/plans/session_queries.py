@@ -371,3 +371,55 @@ def peer_landscape(spark, sf_dir):
     return one.groupBy("model").agg(
         marts.count_if(F.col("peers") == 0).alias("no_peer"), F.sum("same").alias("same_model"), F.sum("diff").alias("other_model"), F.sum("pr").alias("pr_peers"), F.sum("other").alias("other_peers")
     )
+
+
+COMPARED = """, a as (select intent, 100.0::double * count(*) / sum(count(*)) over () as p from st group by 1),
+b as (select i.model, case when m = 0 then intent_none else calls.intent end as intent from calls join info i using (session) where single),
+c as (select intent, 100.0::double * count(*) / sum(count(*)) over () as q from b group by 1)
+"""
+
+
+def _run_sql(sql: str) -> str:
+    """The sessions' common table expressions, with the labelled steps of the runs as ``st``."""
+    from .fixtures import BASE_SQL as RUNS
+
+    runs = RUNS.replace("with recursive ", ", ").replace("tax(intent, category, letter, phase) as", "rtax(intent, category, letter, phase) as").replace("join tax using", "join rtax using").replace("\nsteps as (", "\nst as (")
+    return BASE_SQL.rstrip() + runs + sql
+
+
+@query()
+def intent_comparison_4way(spark, sf_dir):
+    """Intents of runs and of sessions per 100 steps, side by side, with where each is shown."""
+    from .fixtures import labelled
+
+    own = S.session_models(model_names(spark, sf_dir)).where("single").select("session")
+    per = lambda df, name: (lambda c: c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("intent", (F.col("n") * 100.0 / F.col("t")).alias(name)))(df.groupBy("intent").agg(F.count("*").alias("n")))
+    joined = per(labelled(spark, sf_dir), "runs").join(per(labelled_calls(spark, sf_dir).join(own, "session"), "sessions"), "intent", "full_outer")
+    return joined.select("intent", "runs", "sessions", F.col("runs").isNotNull().alias("in_runs"), F.col("sessions").isNotNull().alias("in_sessions"))
+
+
+ORACLES["intent_comparison_4way"] = _run_sql(COMPARED + "select coalesce(a.intent, c.intent) as intent, p as runs, q as sessions, p is not null as in_runs, q is not null as in_sessions from a full join c on a.intent = c.intent")
+
+#: Session models and the run models they are compared with.
+BASELINES = {"claude-opus-4-6": "claude45", "claude-sonnet-4-5": "claude45", "gpt-5.4": "gpt5", "gemini-2.5-pro": "gemini25pro", "glm-4.5": "glm45"}
+
+
+@query()
+def baseline_comparison(spark, sf_dir):
+    """Each session model beside its baseline: steps per session and per run, and how often they end well."""
+    from .fixtures import runs, steps
+
+    per = calls(spark, sf_dir).groupBy("session").agg(F.count("*").alias("n"))
+    ours = shipped_sessions(spark, sf_dir).join(per, "session", "left").groupBy("model").agg(F.avg(F.coalesce("n", F.lit(0))).alias("steps"), F.avg(F.col("shipped").cast("int")).alias("rate"))
+    base = runs(spark, sf_dir).join(steps(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
+    base = base.groupBy(F.col("model").alias("baseline")).agg(F.avg("n").alias("base_steps"), F.avg(F.coalesce(F.col("resolved"), F.lit(False)).cast("int")).alias("base_rate"))
+    names = spark.createDataFrame(list(BASELINES.items()), "model string, baseline string")
+    return F.broadcast(names).join(ours, "model", "left").join(base, "baseline", "left").select("model", "baseline", "steps", "rate", "base_steps", "base_rate")
+
+
+ORACLES["baseline_comparison"] = _run_sql(
+    f""", bl(model, baseline) as ({dims.values_sql(list(BASELINES.items()))}),
+o as (select s.model, avg(coalesce((select count(*) from calls c where c.session = s.session), 0)) as steps, avg(shipped::int) as rate from ship s group by 1),
+r as (select model as baseline, avg((select count(*) from st where st.run_id = runs.run_id)) as base_steps, avg(coalesce(resolved, false)::int) as base_rate from runs group by 1)
+select bl.model, bl.baseline, steps, rate, base_steps, base_rate from bl left join o using (model) left join r using (baseline)"""
+)

@@ -177,3 +177,17 @@ NO_RESULT = {
     ("mystery", None, None, True): "bash-other",
     ("bash", None, "frobnicate", True): "bash-other",
 }
+#: Command signatures of step templates whose first line isn't their bare command, by action.
+SIGNATURES = {
+    "  \n ": "",
+    'bash -lc "grep -rn foo src"': "grep -rn foo src",
+    'bash -lc "grep foo || true}"}': "grep foo || true}",
+    'bash -lc "echo "a" "b""': 'echo "a" "b"',
+    "cd /r && python -m pytest tests": "python -m pytest tests",
+    "cd /r && pytest tests": "pytest tests",
+    "FOO=1 timeout 60 env pytest": "pytest",
+    "set -e; python -m py_compile a.py": "python -m py_compile a.py",
+    "source venv/bin/activate && cd /r && ls": "ls",
+}
+#: Git subcommands of step templates, by action.
+GIT = {"git -C /r diff": "diff", "git log --oneline": "log", "git stash pop": "stash", "git commit -m 'x y'": "commit"}

@@ -1,9 +1,7 @@
-"""Readers of run logs: trajectory files, session transcripts, outcome tables; an ingest ledger and a file stream."""
+"""Readers of run logs: trajectory files, session transcripts, outcome tables; an ingest ledger."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,14 +111,6 @@ def unseen(files: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return now if ledger is None else now.join(ledger.select("version"), "version", "left_anti")
 
 
-def ingest_stream(spark: SparkSession, root: str, checkpoint: str, sink: Callable[[DataFrame, int], None], pattern: str = "*.jsonl") -> None:
-    """Hand every new file to ``sink(batch, id)`` once, whole: one file is one session, so no state crosses batches."""
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value")
-    query = files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def write_mart(df: DataFrame, path: str, form: str = "parquet", partition_by: list[str] | None = None) -> None:
     """A mart as parquet, or as CSV with a header or JSON lines."""
     writer = df.write.mode("overwrite").format(form)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from steploom.sources import ingest
+from steploom.streaming import files as stream
 
 
 def traj(root, model, name, doc):
@@ -47,12 +48,15 @@ def test_transcripts_and_stream(spark, tmp_path):
     text = events.where("type = 'message'").select(ingest.flatten_content(F.col("message.content"), F.col("message.details.diff")).alias("t")).first().t
     assert text == "a\n[image]\n+x"
     seen = []
-    run = lambda: ingest.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda b, _: seen.append(b.count()))
+    run = lambda: stream.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda b, _: seen.append(b.count()))
     run()
     (tmp_path / "in/t.jsonl").write_text(lines[0])
     run()
     run()
     assert sum(seen) == 2
+    kinds = lambda b: b.select(F.explode(F.split("value", "\n")).alias("line")).select(F.get_json_object("line", "$.type").alias("type")).where("type is not null")
+    stream.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "state2"), stream.count_into(str(tmp_path / "counts"), ["type"], kinds))
+    assert {r.type: r.n for r in stream.totals(spark, str(tmp_path / "counts"), ["type"]).collect()} == {"session": 2, "message": 1}
 
 
 def test_outcomes_and_ledger(spark, tmp_path):
