@@ -129,7 +129,8 @@ SIGNATURES = (
 
 #: A text without any of these words can match no rule and no base phrase.
 GATE = r" (?:licen[sc]|spdx|cc by|rights reserved|released|distributed|published|available under|provided|hereby|redistribution|permission|copyright|free software|any later|public domain|proprietary|confidential|unauthorized|trademarks? of|registered trade|commercial use|derivative|attribution|dual licen|you may not|as is without|unlicense|cc0)"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words. Capitals are lower-cased later, and only where a rule may match, so they count as letters here.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def rules() -> list[tuple[str, str, str, int, float, bool]]:
