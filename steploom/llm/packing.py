@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 CAPACITY = 4096
 #: Lengths are packed in classes of this many tokens, rounded up.
@@ -132,12 +132,27 @@ def price_pattern(prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def largest_first(left: np.ndarray, sizes: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns filled from the largest class down, each used while the demand has all its pieces."""
+    left, out = left.copy(), []
+    while left.any():
+        units, pattern = room, np.zeros(len(left), np.int64)
+        for k in range(len(left) - 1, -1, -1):
+            take = min(int(left[k]), units // int(sizes[k]))
+            pattern[k], units = take, units - take * int(sizes[k])
+        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        out.append((pattern, times))
+        left -= pattern * times
+    return out
+
+
 def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly ``demand`` pieces of each class.
 
-    The linear program (cover the demand with the fewest sequences) starts from one-class patterns; columns are
-    priced by a knapsack dynamic program until the bound from the best price is within ``gap``. The basis inverse is
-    updated by pivots. The solution is rounded down; what is left goes largest first into the fullest patterns.
+    The linear program (cover the demand with the fewest sequences) starts from one-class patterns. Columns come from
+    patterns filled largest first while one of them has a good price, then from a knapsack dynamic program, until the
+    best price is within ``gap``. The basis inverse is updated by pivots. The solution is rounded down; what is left
+    goes largest first into sequences of its own.
     """
     classes = np.flatnonzero(demand)
     m = len(classes)
@@ -147,14 +162,19 @@ def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns:
     basis = [np.eye(m, dtype=np.int64)[i] * int(room // sizes[i]) for i in range(m)]
     inverse = np.diag(1.0 / np.array([room // s for s in sizes]))
     amount = inverse @ need
+    pool = np.array([p for p, _ in largest_first(demand[classes].astype(np.int64), sizes, room)])
     for _ in range(max_columns):
         prices = np.maximum(inverse.sum(0), 0)
         full = np.zeros(int(sizes[-1]))
         full[sizes - 1] = prices
-        value, wide = price_pattern(full, room)
-        if value <= 1 + gap:
-            break
-        column = wide[sizes - 1]
+        known = pool @ prices
+        if known.max() > 1 + gap:
+            column = pool[int(known.argmax())]
+        else:
+            value, wide = price_pattern(full, room)
+            if value <= 1 + gap:
+                break
+            column = wide[sizes - 1]
         direction = inverse @ column
         ratios = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
@@ -173,15 +193,8 @@ def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns:
         if x > 0:
             used.setdefault(pattern.tobytes(), [pattern, 0])[1] += x
             left -= pattern * x
-    # Rounding leaves less than one use of each pattern: these few go largest first into one sequence after another.
-    while left.any():
-        units, pattern = room, np.zeros(m, np.int64)
-        for k in range(m - 1, -1, -1):
-            take = min(int(left[k]), units // int(sizes[k]))
-            pattern[k], units = take, units - take * int(sizes[k])
-        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+    for pattern, times in largest_first(left, sizes, room):
         used.setdefault(pattern.tobytes(), [pattern, 0])[1] += times
-        left -= pattern * times
     out = []
     for pattern, times in used.values():
         wide = np.zeros(len(demand), np.int64)
@@ -201,6 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
     classes times patterns (bounded by the number of classes squared), joined on class and rank.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)
     pieces = materialise(pieces.withColumn("class", (F.ceil(F.col("length") / grain) - 1).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(512)).cast("int")), "pieces")
     blocks = pieces.groupBy("class", "block").agg(F.count("*").alias("n"))
