@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "8MB") -> None:
+    """Bound the Arrow batches between Spark and its Python workers by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

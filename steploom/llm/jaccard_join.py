@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import components, materialise
+from .common import components, materialise, small_batches
 from .tokens import U64, Words, batches, mix, slices, texts
 
 SIZE, NUM, DEN = 4, 85, 100
@@ -241,6 +241,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
     with its most central member, and members that are in one component by then are never compared. All candidate
     pairs between different components are compared at the end, so no component is missed.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sets = materialise(rows.mapInArrow(_sets(size), SETS), "sets")
     shards = G.shard_count(rows)

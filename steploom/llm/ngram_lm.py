@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import drop_path, new_path, write_table
+from .common import drop_path, new_path, small_batches, write_table
 from .tokens import U64, batches, mix, slices, texts
 
 #: The hash of the end token. Words hash to it as rarely as to one another.
@@ -265,6 +265,7 @@ def _find_bigrams(model: Model, keys: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the texts of ``docs``; null counts as empty. Three shuffles, of words, bigrams and kinds of context."""
     spark = docs.sparkSession
+    small_batches(spark)
     only = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
     folder, shards = model_folder(spark), G.shard_count(only)
     vocabulary, n_tokens = count_words(only, folder, shards)

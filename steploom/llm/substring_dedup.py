@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import drop_table, materialise
-from .tokens import U64, Words, batches, slices, texts
+from .common import materialise, small_batches
+from .tokens import U64, Words, batches, mix, slices, texts
 
 WINDOW = 50
 LAST = np.iinfo(np.int64).max  # stands for a null id
@@ -48,7 +48,7 @@ def _send(size: int, shards: int, hot: np.ndarray):
                     words = Words(data[bounds[c] : bounds[d]], bounds[c : d + 1] - bounds[c])
                     hashes, at = words.windows(words.hashes(), size)
                     doc = words.docs()[at]
-                    found.append((hashes, doc + (c - a), at - words.first[doc]))
+                    found.append((hashes, (doc + (c - a)).astype(np.int32), (at - words.first[doc]).astype(np.int32)))
                 hashes, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
                 is_hot, which = G.in_sorted(hashes, hot)
                 if is_hot.any():
@@ -76,41 +76,94 @@ def _block(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-REPLIES = "id bigint, mark bigint, positions binary, hot bigint"
+REPLIES = "bucket int, ids binary, marks binary, counts binary, places binary, hot binary"
 
 
-def _merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text the windows that also start in a text with a smaller id; for frequent windows their smallest id."""
+def _reply(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32()] + [pa.binary()] * 5
     names = [x.split()[0] for x in REPLIES.split(", ")]
-    for table in G.runs(rows, "shard"):
-        hashes = G.joined(table, "hashes", U64)
-        if table["shard"][0].as_py() < 0:
-            values, group = np.unique(hashes, return_inverse=True)
-            least = np.full(len(values), LAST, np.int64)
-            np.minimum.at(least, group, G.joined(table, "ids", np.int64))
-            n = len(values)
-            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.array(values.view(np.int64))], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _merge(buckets: int):
+    """For each text the windows that also start in a text with a smaller id, as one row for each bucket of texts; for
+    frequent windows their smallest id, as bucket -1."""
+
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in G.runs(rows, "shard"):
+            hashes = G.joined(table, "hashes", U64)
+            ids = G.joined(table, "ids", np.int64)
+            if table["shard"][0].as_py() < 0:
+                values, group = np.unique(hashes, return_inverse=True)
+                least = np.full(len(values), LAST, np.int64)
+                np.minimum.at(least, group, ids)
+                yield _reply([(-1, least.tobytes(), b"", b"", b"", values.tobytes())])
+                continue
+            marks, counts = G.joined(table, "marks", np.int64), G.joined(table, "counts", np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+            repeated = _repeated(hashes, ids, owner)
+            del hashes
+            if not len(repeated):
+                continue
+            at, who = _places(table, counts)[repeated], owner[repeated]
+            heads = np.flatnonzero(np.diff(who, prepend=-1))
+            doc, n = who[heads], np.diff(np.append(heads, len(who)))
+            to = G.shard_of(mix(marks[doc].view(U64) ^ mix(ids[doc].view(U64))), buckets)
+            order = np.argsort(to, kind="stable")
+            out = []
+            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                k = n[part]
+                take = np.repeat(heads[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                out.append((int(to[part[0]]), ids[doc[part]].tobytes(), marks[doc[part]].tobytes(), k.astype(np.uint32).tobytes(), at[take].tobytes(), b""))
+            yield _reply(out)
+
+    return merge
+
+
+def _gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text that has answers."""
+    for table in G.runs(rows, "bucket"):
+        if table["bucket"][0].as_py() < 0:
+            values = G.joined(table, "hot", U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(G.joined(table, "ids", np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary()), pa.array(values)], names=["id", "mark", "places", "hot"])
             continue
         ids, marks, counts = G.joined(table, "ids", np.int64), G.joined(table, "marks", np.int64), G.joined(table, "counts", np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(ids)), counts)
-        order = np.argsort(hashes)
-        sorted_hashes = hashes[order]
-        edge = np.flatnonzero(np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1])))
-        own = ids[owner[order]]
-        least = np.repeat(np.minimum.reduceat(own, edge), np.diff(np.append(edge, len(own))))
-        repeated = np.sort(order[own > least])
-        if not len(repeated):
-            continue
-        gaps = G.joined(table, "low", np.uint8).astype(np.int64) + (G.joined(table, "high", np.uint32).astype(np.int64) << 8)
-        total = np.cumsum(gaps)
-        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        at = total - np.repeat(total[starts] - gaps[starts], counts)
-        who = owner[repeated]
-        heads = np.flatnonzero(np.diff(who, prepend=-1))
-        doc = who[heads]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[doc]), pa.array(marks[doc]), G.packed(at[repeated].astype(np.uint32), np.append(heads, len(who))), pa.nulls(len(doc), pa.int64())], names=names
-        )
+        at = G.joined(table, "places", np.uint32)
+        order = np.lexsort((marks, ids))
+        starts = (np.cumsum(counts) - counts)[order]
+        n = counts[order]
+        at = at[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ids, marks = ids[order], marks[order]
+        heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))))
+        edges = np.append((np.cumsum(n) - n)[heads], n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(marks[heads]), G.packed(at, edges), pa.nulls(len(heads), pa.int64())], names=["id", "mark", "places", "hot"])
+
+
+def _repeated(hashes: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Indices of the hashes that a text with a smaller id also has, ascending."""
+    order = np.argsort(hashes).astype(np.int32)
+    hashes = hashes[order]
+    edge = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    del hashes
+    runs = np.diff(np.append(edge, len(order)))
+    # Only runs of two or more can repeat.
+    many = np.repeat(runs > 1, runs)
+    order, runs = order[many], runs[runs > 1]
+    if not len(order):
+        return order
+    own = ids[owner[order]]
+    least = np.repeat(np.minimum.reduceat(own, np.cumsum(runs) - runs), runs)
+    return np.sort(order[own > least])
+
+
+def _places(table: pa.Table, counts: np.ndarray) -> np.ndarray:
+    """The index of each window in its text."""
+    gaps = G.joined(table, "high", np.uint32)
+    gaps <<= np.uint32(8)
+    gaps += G.joined(table, "low", np.uint8)
+    starts = np.cumsum(counts) - counts
+    total = np.cumsum(gaps, dtype=np.int64)
+    return (total - np.repeat(total[starts] - gaps[starts], counts)).astype(np.uint32)
 
 
 def _apply(size: int, hot: np.ndarray, hot_least: np.ndarray, with_text: bool):
@@ -127,10 +180,9 @@ def _apply(size: int, hot: np.ndarray, hot_least: np.ndarray, with_text: bool):
                 marks = np.zeros(len(words) + 1, np.int64)
                 for k in range(a, b):
                     if replies[k].is_valid:
-                        for part in replies[k].as_py():
-                            start = np.frombuffer(part, np.uint32).astype(np.int64) + words.first[k - a]
-                            np.add.at(marks, start, 1)
-                            np.add.at(marks, start + size, -1)
+                        start = np.frombuffer(replies[k].as_buffer(), np.uint32).astype(np.int64) + words.first[k - a]
+                        np.add.at(marks, start, 1)
+                        np.add.at(marks, start + size, -1)
                 if len(hot):
                     hashes, at = words.windows(words.hashes(), size)
                     is_hot, which = G.in_sorted(hashes, hot)
@@ -195,17 +247,18 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = True,
     task sends only its smallest id for them, and their number is bounded (gram_shards.MAX_HOT). Texts meet the
     answers in one join on the id and a hash of the text.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
     shards = G.shard_count(rows)
     hot = G.hot_hashes(rows, _window_hashes(size), "id")
     blocks = rows.mapInArrow(_send(size, shards, hot), BLOCKS).repartition(shards, "shard").sortWithinPartitions("shard")
-    replies = materialise(blocks.mapInArrow(_merge, REPLIES), "replies")
-    hot_rows = replies.where("hot is not null").select("hot", "id").collect()  # MAX_HOT at most
+    answers = blocks.mapInArrow(_merge(shards), REPLIES).repartition(shards, "bucket").sortWithinPartitions("bucket")
+    answers = materialise(answers.mapInArrow(_gather, "id bigint, mark bigint, places binary, hot bigint"), "answers")
+    hot_rows = answers.where("hot is not null").select("hot", "id").collect()  # MAX_HOT at most
     hot_rows.sort(key=lambda r: int(r["hot"]) % (1 << 64))
     hot_at = np.array([r["hot"] for r in hot_rows], np.int64).view(U64)
     hot_least = np.array([r["id"] for r in hot_rows], np.int64)
-    told = replies.where("hot is null").groupBy(F.when(F.col("id") != LAST, F.col("id")).alias("r_id"), F.col("mark").alias("r_mark")).agg(F.collect_list("positions").alias("replies"))
-    both = rows.join(told, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left").select("id", "text", "replies")
+    told = answers.where("hot is null").select(F.when(F.col("id") != LAST, F.col("id")).alias("r_id"), F.col("mark").alias("r_mark"), "places")
+    both = rows.join(told, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left").select("id", "text", "places")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, intervals array<bigint>, kept_text string"
     return both.mapInArrow(_apply(size, hot_at, hot_least, with_text), schema)
