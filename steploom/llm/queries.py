@@ -152,4 +152,4 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
+    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"), order=3)
