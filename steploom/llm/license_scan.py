@@ -20,7 +20,9 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 #: Licences: label, keyword, expression of the name in normal form. Versions follow the name.
 LICENCES = (
-    ("mit", " mit ", r"(?:mit|expat|x11)"),
+    ("mit", " mit ", r"mit"),
+    ("mit", " expat ", r"expat"),
+    ("mit", " x11 ", r"x11"),
     ("mit-0", " mit ", r"mit (?:no attribution|0)"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
