@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, size: str = "8MB") -> None:
     """Bound the Arrow batches between Spark and its Python workers by bytes, not by rows alone."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers are used again, so what one task held would stay with the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose tasks leave no free memory behind in their workers."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(rows)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset
+    and driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -69,13 +107,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote, once no later read needs it."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, folder)
+class Scratch:
+    """Tables of one operator's call in a folder of their own, which goes when the call has written its result."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, new_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.path)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}-{name}"
+        write_table(df, path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this folder ahead of the others."""
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(self.spark, folder)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     """(node, comp) for ``nodes(node)`` under undirected ``links(a, b)``; comp is one node of the component.
 
     Every round contracts the links: each component takes the smallest neighbour as its parent, parents are
@@ -85,19 +141,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     found, edges = None, links.select("a", "b").where("a <> b").distinct()
     while True:
-        edges = materialise(edges, "edges")
+        edges = work.table(edges, "edges")
         if edges.isEmpty():
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
+        step = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
         for _ in range(2):
             up = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            step = materialise(step.join(up, "p").select("a", F.col("q").alias("p")), "parents")
+            step = work.table(step.join(up, "p").select("a", F.col("q").alias("p")), "parents")
         if found is None:
             found = step.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
             old = found
-            found = materialise(
+            found = work.table(
                 old.join(step.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "comps"
             )
         left, right = step.select("a", F.col("p").alias("pa")), step.select(F.col("a").alias("b"), F.col("p").alias("pb"))

@@ -16,16 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .tokens import U64
 
-#: Hashes of a shard, about.
-SHARD_HASHES = 3_000_000
+#: Hashes of a shard, about. A task holds one shard at a time, in about a hundred bytes a hash.
+SHARD_HASHES = 1_000_000
+#: Partitions of a shuffle of blocks, at most; with more shards a partition holds a range of them, one after another.
+MAX_PARTITIONS = 20_000
 #: Frequent sequences, at most: those with over 1 / MAX_HOT of all hashes in the sample.
 MAX_HOT = 20_000
 SAMPLE = 16
 MIN_SAMPLE_COUNT = 24
-#: Bytes of text behind one block for each shard.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text behind one block for each shard: as many as give a block some thousand bytes, within these bounds.
+BLOCK_BYTES, MAX_BLOCK_BYTES = 8 << 20, 48 << 20
+
+
+def block_bytes(shards: int) -> int:
+    return min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, shards << 11))
 
 
 def shard_count(docs: DataFrame, text_col: str = "text") -> int:
@@ -42,7 +49,7 @@ def hot_hashes(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Ite
             values, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counted = sample.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = map_batches(sample, count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= MIN_SAMPLE_COUNT).orderBy(F.col("n").desc(), "h").limit(MAX_HOT).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(U64))
 
@@ -71,21 +78,37 @@ def split(hashes: np.ndarray, doc: np.ndarray, shards: int) -> Iterator[tuple[in
         yield int(s), part, own[edge], np.diff(np.append(edge, len(own)))
 
 
+def dealt(blocks: DataFrame, shards: int, column: str = "shard") -> DataFrame:
+    """Blocks by shard: each shard whole and in one partition, which is a shard or a range of shards, sorted.
+
+    Negative numbers are further shards.
+    """
+    parts = min(shards, MAX_PARTITIONS)
+    shard = F.pmod(F.col(column), F.lit(shards)).cast("bigint")
+    return blocks.repartitionById(parts, F.floor(shard * parts / shards).cast("int")).sortWithinPartitions(column)
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The shard's rows of sorted batches: one table for each run of equal values of ``column``."""
+    """The shard's rows of sorted batches: one table for each run of equal values of ``column``, not held here."""
     held: list[pa.RecordBatch] = []
     value = None
+
+    def table() -> pa.Table:
+        made = pa.Table.from_batches(held)
+        held.clear()
+        return made
+
     for batch in batches:
         keys = batch.column(column).to_numpy(zero_copy_only=False)
         edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if held and keys[a] != value:
-                yield pa.Table.from_batches(held)
-                held = []
+                yield table()
             value = keys[a]
             held.append(batch.slice(a, b - a))
     if held:
-        yield pa.Table.from_batches(held)
+        batch = None
+        yield table()
 
 
 def joined(table: pa.Table, column: str, dtype) -> np.ndarray:

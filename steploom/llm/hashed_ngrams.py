@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_batches, small_batches, unused
 from .tokens import slices, texts
 
 BUCKET_BITS = 16
@@ -65,9 +65,10 @@ def counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(chosen[at])], names=["bucket", "raw", "target"])
 
     small_batches(docs.sparkSession)
-    ids = F.broadcast(target.select(F.col("doc_id").alias("t_id")).distinct())
-    rows = docs.join(ids, docs[id_col] == F.col("t_id"), "left").select(F.coalesce(text_col, F.lit("")).alias("text"), F.col("t_id").isNotNull().alias("t"))
-    sums = rows.mapInArrow(count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    t_id = unused(docs, "target_id")[0]
+    ids = F.broadcast(target.select(F.col("doc_id").alias(t_id)).distinct())
+    rows = docs.join(ids, docs[id_col] == F.col(t_id), "left").select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(t_id).isNotNull().alias("t"))
+    sums = map_batches(rows, count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, chosen = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
     for row in sums.collect():  # one row per bucket: 2**BUCKET_BITS at most
         raw[row["bucket"]], chosen[row["bucket"]] = row["raw"], row["target"]

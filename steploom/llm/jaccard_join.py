@@ -7,6 +7,7 @@ Candidates share an n-gram of their prefixes; documents with equal sets are one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import components, materialise, small_batches
+from .common import Scratch, components, map_batches, materialise, small_batches, unused
 from .tokens import U64, Words, batches, mix, slices, texts
 
 SIZE, NUM, DEN = 4, 85, 100
@@ -65,16 +66,17 @@ def _hashes(size: int):
     return hashes
 
 
-SETS = "doc_id bigint, n bigint, node binary"
+SETS = "doc_id bigint, mark bigint, n bigint, node binary"
 
 
 def _sets(size: int):
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b, words in batches(batch.column(1), lower=True):
+            for a, b, words in batches(batch.column(2), lower=True):
                 n, prints = fingerprints(*document_sets(words, size), b - a)
                 node = G.packed(prints.reshape(-1), 2 * np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), node], names=["doc_id", "n", "node"])
+                own = [batch.column(k).slice(a, b - a) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), node], names=["doc_id", "mark", "n", "node"])
 
     return sets
 
@@ -102,10 +104,12 @@ def _replies(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, grams: np
 def _send(size: int, shards: int, hot: np.ndarray):
     """Blocks of (node, hash) for all shards; equal sets of one run of texts are sent once."""
 
+    most = G.block_bytes(shards)
+
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             data, bounds = texts(batch.column(0))
-            for a, b in slices(bounds, G.BLOCK_BYTES):
+            for a, b in slices(bounds, most):
                 found, before = [], 0
                 for c, d in slices(bounds[a : b + 1]):
                     c, d = a + c, a + d
@@ -237,79 +241,106 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
     set and link with nothing; a null id is reached but never the smallest unless alone. Rows that repeat have equal
     sets and are one node. Extra columns are ignored; an empty table gives an empty result.
 
-    Links between different sets are found exactly, but not all are written: a group of candidates is first compared
-    with its most central member, and members that are in one component by then are never compared. All candidate
-    pairs between different components are compared at the end, so no component is missed.
+    No link between different sets is missed, but not all are written: a group of candidates is first compared with
+    its most central member, and members that are in one component by then are never compared. All candidate pairs
+    between different components are compared at the end. N-grams are told apart by 64-bit hashes and sets by 128-bit
+    sums of them; a wrong link needs many collisions within one pair of documents.
     """
+    with Scratch(docs.sparkSession, "jaccard") as work:
+        named = _labelled(docs, size, num, den, fragments, id_col, text_col, work)
+        smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
+        joined = named.join(smallest, "comp", "left")
+        named = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+        return materialise(named, "components")
+
+
+def _labelled(docs: DataFrame, size: int, num: int, den: int, fragments: int, id_col: str, text_col: str, work: Scratch) -> DataFrame:
+    """(doc_id, mark, n, comp): a hash of the text, the size of its set and its component, null for an empty set."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    sets = materialise(rows.mapInArrow(_sets(size), SETS), "sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sets = work.table(map_batches(rows, _sets(size), SETS), "sets")
     shards = G.shard_count(rows)
     hot = G.hot_hashes(rows, _hashes(size), "id")
     only_text = rows.select("text")
-    blocks = only_text.mapInArrow(_send(size, shards, hot), BLOCKS).repartition(shards, "shard").sortWithinPartitions("shard")
-    told = blocks.mapInArrow(_merge(shards), REPLIES)
+    blocks = G.dealt(map_batches(only_text, _send(size, shards, hot), BLOCKS), shards)
+    told = map_batches(blocks, _merge(shards), REPLIES)
     if len(hot):
-        told = told.unionByName(only_text.mapInArrow(_hot_replies(size, hot, shards), REPLIES))
-    told = told.repartition(shards, "bucket").sortWithinPartitions("bucket")
-    nodes = materialise(told.mapInArrow(_gather(num, den), ORDERED), "ordered")
-    links = _links(nodes, fragments, num, den)
-    labels = components(sets.select("node").where("n > 0").distinct(), links)
-    named = sets.where("n > 0").join(labels, "node")
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = named.join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
-
-
-def _links(nodes: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
+        told = told.unionByName(map_batches(only_text, _hot_replies(size, hot, shards), REPLIES))
+    nodes = work.table(map_batches(G.dealt(told, shards, "bucket"), _gather(num, den), ORDERED), "ordered")
+    links = _links(nodes, fragments, num, den, work)
+    labels = components(sets.select("node").where("n > 0").distinct(), links, work)
+    named = sets.where("n > 0").join(labels, "node").select("doc_id", "mark", "n", "comp")
+    return named.unionByName(sets.where("n = 0").select("doc_id", "mark", "n", F.lit(None).cast("binary").alias("comp")))
+
+
+def _links(nodes: DataFrame, fragments: int, num: int, den: int, work: Scratch) -> DataFrame:
     """Links (a, b) whose components are those of all links."""
     place = F.posexplode("grams").alias("at", "gram")
     # The prefix: n - ceil(t * n) + 1 n-grams in the global order, of which the unshared ones come first.
     prefix = F.col("shared") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
     heads = nodes.select("node", "n", "shared", F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")).alias("grams")).select("node", "n", "shared", place)
-    heads = materialise(heads, "heads")
+    heads = work.table(heads, "heads")
     # Fragments of the order: cuts at equal shares of the n-grams' frequencies.
     cuts = nodes.select(F.explode("freqs").alias("f")).agg(F.percentile_approx("f", [k / fragments for k in range(1, fragments)], 1000).alias("cuts")).first()["cuts"] or []
     # Frequencies repeat, so each class of frequency is cut again by the n-gram itself.
     coarse = sum((F.when(F.col("f") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     cells = nodes.select("node", "n", F.explode(F.arrays_zip("grams", "freqs")).alias("x")).select("node", "n", F.col("x.grams").alias("g"), F.col("x.freqs").alias("f"))
     parts = cells.groupBy("node", "n", (coarse * 2 + F.when(F.col("g") < 0, 0).otherwise(1)).alias("fragment")).agg(F.collect_list("g").alias("grams"))
-    parts = materialise(parts, "fragments")
+    parts = work.table(parts, "fragments")
+    work.drop(nodes)
     # First each group of candidates is compared with its most central member only.
     best = heads.groupBy("gram").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "node", "n")).alias("top"), F.count("*").alias("k"))
     star = heads.join(best.where("k > 1"), "gram").where("node <> top.node").where(_near(F.col("n"), F.col("top.n"), num, den))
     pairs = star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
-    found = materialise(overlaps(pairs, parts, num, den), "links")
-    labels = materialise(components(heads.select("node").distinct(), found), "labels")
-    return found.unionByName(overlaps(_rest(heads, labels, num, den), parts, num, den))
+    found = work.table(overlaps(pairs, parts, num, den), "links")
+    labels = work.table(components(heads.select("node").distinct(), found, work), "labels")
+    return work.table(found.unionByName(overlaps(_rest(heads, labels, num, den, work), parts, num, den)), "links")
 
 
 def _near(a: Column, b: Column, num: int, den: int) -> Column:
     return (F.lit(den) * F.least(a, b)) >= (F.lit(num) * F.greatest(a, b))
 
 
-def _rest(heads: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs between components: of each group, all members outside its largest component with all others."""
+def _rest(heads: DataFrame, labels: DataFrame, num: int, den: int, work: Scratch) -> DataFrame:
+    """Candidate pairs between components: of each group, all members outside its largest component with all others
+    whose size is near enough. Groups are joined by size class, so a frequent n-gram is many keys."""
     now = heads.join(labels, "node")
     sizes = now.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("gram", F.col("top.comp").alias("top"))
-    live = materialise(now.join(top, "gram"), "live")
+    live = work.table(now.join(top, "gram"), "live")
     # The smaller set of a pair needs a shorter prefix: n - ceil(2t / (1 + t) * n) + 1, as the other isn't smaller.
     short = F.col("shared") - F.ceil(F.col("n") * F.lit(2 * num) / F.lit(den + num)) + 1
-    live = live.withColumn("short", F.col("at") < short)
-    side = lambda df, k: df.select("gram", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "shared", "at", "comp", "short")))
-    x, y = side(live.where("comp <> top"), "x"), side(live, "y")
+    # Near sizes are in the same or in adjacent classes; a class is a little wider than they can differ.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
+    live = live.withColumn("short", F.col("at") < short).withColumn("class", size_class)
+    side = lambda df, k: df.select("gram", "class", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "shared", "at", "comp", "short")))
+    x, y = side(live.where("comp <> top"), "x"), side(live.withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))), "y")
     smaller_x = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     # What can still overlap: before the common n-gram no more than the shorter head, after it no more than the shorter tail.
     most = F.least("at_x", "at_y") + F.least(F.col("shared_x") - F.col("at_x"), F.col("shared_y") - F.col("at_y"))
-    pairs = x.join(y, "gram").where("comp_x <> comp_y").where(F.when(smaller_x, F.col("short_x")).otherwise(F.col("short_y")))
+    pairs = x.join(y, ["gram", "class"]).where("comp_x <> comp_y").where(F.when(smaller_x, F.col("short_x")).otherwise(F.col("short_y")))
     pairs = pairs.where(_near(F.col("n_x"), F.col("n_y"), num, den)).where(_linked(most, F.col("n_x"), F.col("n_y"), num, den))
     pairs = pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all columns."""
-    keep = jaccard_components(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("k_id")), "left_semi")
+def one_of_each(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, fragments: int = FRAGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns: that with the smallest id, null ids last.
+
+    Of rows that repeat an id and a text one stays. Null and empty texts, and texts without words, link with nothing,
+    so all these rows stay. An empty table gives an empty result.
+    """
+    own, k_id, k_mark, k_many = unused(docs, "own_mark", "kept_id", "kept_mark", "kept_many")
+    with Scratch(docs.sparkSession, "jaccard") as work:
+        named = work.table(_labelled(docs, size, num, den, fragments, id_col, text_col, work), "named")
+        row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+        best = named.where("comp is not null").groupBy("comp").agg(F.min(row).alias("best"))
+        again = named.where("comp is not null").groupBy(row.alias("best")).agg((F.count("*") > 1).alias("many"))
+        keep = best.select("best").join(again, "best").unionByName(named.where("comp is null").select(row.alias("best"), F.lit(False).alias("many")).distinct())
+        keep = materialise(keep.select(F.col("best.doc_id").alias(k_id), F.col("best.mark").alias(k_mark), F.col("many").alias(k_many)), "representatives")
+    rows = docs.withColumn(own, F.xxhash64(text_col)).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(k_id)) & (F.col(own) == F.col(k_mark)))
+    once = rows.where(~F.col(k_many)).select(*docs.columns)
+    if keep.where(F.col(k_many)).isEmpty():
+        return once
+    one = rows.where(F.col(k_many)).groupBy(k_id, k_mark).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(one.select("row.*"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import drop_path, new_path, small_batches, write_table
+from .common import drop_path, map_batches, materialise, new_path, small_batches, write_table
 from .tokens import U64, batches, mix, slices, texts
 
 #: The hash of the end token. Words hash to it as rarely as to one another.
@@ -220,10 +220,10 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
-def _blocks(batch: pa.RecordBatch, use) -> Iterator[np.ndarray]:
+def _blocks(batch: pa.RecordBatch, use, shards: int) -> Iterator[np.ndarray]:
     """Concatenated ``use(words)`` over large runs of texts, computed over small ones."""
     column = batch.column(0)
-    for a, b in slices(texts(column)[1], G.BLOCK_BYTES):
+    for a, b in slices(texts(column)[1], G.block_bytes(shards)):
         yield np.concatenate([use(words) for _, _, words in batches(column.slice(a, b - a), lower=True)])
 
 
@@ -241,7 +241,7 @@ def count_words(train: DataFrame, folder: str, shards: int) -> tuple[Table, int]
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for hashes in _blocks(batch, lambda words: _tokens(words)[0]):
+            for hashes in _blocks(batch, lambda words: _tokens(words)[0], shards):
                 unique, n = np.unique(hashes, return_counts=True)
                 yield _counted(_by_shard(unique, n, G.shard_of(unique, shards), shards))
 
@@ -253,7 +253,7 @@ def count_words(train: DataFrame, folder: str, shards: int) -> tuple[Table, int]
             _save(folder, f"word-{s}.count", counts)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], names=["shard", "n", "total"])
 
-    done = _rows(train.mapInArrow(send, COUNTED).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, n bigint, total bigint"))
+    done = _rows(map_batches(G.dealt(map_batches(train, send, COUNTED), shards), merge, "shard int, n bigint, total bigint"))
     sizes = np.zeros(shards, np.int64)
     for r in done:
         sizes[r["shard"]] = r["n"]
@@ -437,7 +437,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for keys in _blocks(batch, keys_of):
+            for keys in _blocks(batch, keys_of, shards):
                 unique, n = np.unique(keys, return_counts=True)
                 yield _counted(_by_shard(unique, n, _bigram_shard(unique, bounds, hot), shards))
 
@@ -457,7 +457,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
                 yield _counted([(-3, np.stack((np.full(len(often), s), often, word[often]), 1).astype(U64).reshape(-1), np.zeros(0))])
 
     path = new_path(spark, "kinds")
-    write_table(only.mapInArrow(send, COUNTED).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, COUNTED), path)
+    write_table(map_batches(G.dealt(map_batches(only, send, COUNTED), shards), merge, COUNTED), path)
     kinds = spark.read.parquet(path)
     small = kinds.where("shard < 0").collect()  # a row per shard, and the few hot contexts and bigrams
     seen, hot_stats = _driver_sums(small, hot, 4)
@@ -472,7 +472,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             _save(folder, f"kinds-{s}", dense)
             yield pa.RecordBatch.from_arrays([pa.array([[int((n == k).sum()) for k in range(1, 5)] + [int((n > 2).sum()), int(s)]])], names=["n"])
 
-    add_rows = _rows(kinds.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(add, "n array<bigint>"))
+    add_rows = _rows(map_batches(G.dealt(kinds.where("shard >= 0"), shards), add, "n array<bigint>"))
     low = np.array([r["n"] for r in add_rows], np.int64).reshape(-1, 6)
     drop_path(spark, path)
     for s in range(shards):  # shards that got nothing; order three writes all contexts later
@@ -513,7 +513,7 @@ def _train_triples(only: DataFrame, vocabulary: Table, pairs: Pairs, n_words: in
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for keys in _blocks(batch, keys_of):
+            for keys in _blocks(batch, keys_of, shards):
                 unique, n = np.unique(keys, return_counts=True)
                 yield _counted(_by_shard(unique, n, _trigram_shard(unique, pairs, hot), shards))
 
@@ -557,7 +557,7 @@ def _train_triples(only: DataFrame, vocabulary: Table, pairs: Pairs, n_words: in
             yield _counted(_context_stats(folder, s, keys, counts, pairs.bounds, pairs.hot))
 
     path = new_path(spark, "befores")
-    write_table(only.mapInArrow(send, COUNTED).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, COUNTED), path)
+    write_table(map_batches(G.dealt(map_batches(only, send, COUNTED), shards), merge, COUNTED), path)
     found = spark.read.parquet(path)
     seen, hot_stats = _driver_sums(found.where("shard in (-1, -2)").collect(), hot, 3)  # a row per shard, and the few hot bigrams
     for s in range(shards):  # shards that got nothing
@@ -565,8 +565,8 @@ def _train_triples(only: DataFrame, vocabulary: Table, pairs: Pairs, n_words: in
             if not os.path.exists(f"{folder}/{name}"):
                 _save(folder, name, np.empty(0, dtype))
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.expr("X'' as keys"), F.expr("X'' as counts"))
-    befores = found.where("shard >= 0").unionByName(every).repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = _driver_sums(_rows(befores.mapInArrow(add, COUNTED)), pairs.hot, 4)
+    befores = G.dealt(found.where("shard >= 0").unionByName(every), shards)
+    sums = _driver_sums(_rows(map_batches(befores, add, COUNTED)), pairs.hot, 4)
     drop_path(spark, path)
     return Triples(hot, hot_stats, Discounts.fit(*(int(x) for x in seen[:, :4].sum(0)))), *sums
 
@@ -581,7 +581,7 @@ def _hot_contexts(vocabulary: Table, n_words: int, n_tokens: int, shards: int, s
                 at = np.flatnonzero(_map(f"{folder}/word-{s}.count", "i8") > least)
                 yield pa.RecordBatch.from_arrays([pa.array(at + starts[s], pa.int64())], names=["rank"])
 
-    rows = spark.range(shards).mapInArrow(find, "rank bigint").collect()
+    rows = map_batches(spark.range(shards), find, "rank bigint").collect()
     return np.unique(np.array([r["rank"] for r in rows] + [n_words], np.int64))
 
 
@@ -601,7 +601,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(scores, SCORES)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), scores, SCORES)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1):
@@ -613,8 +613,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Train a model of order two or three on the rows that aren't held out, and score all rows.
 
     Null and empty texts are one end token; rows that repeat count each; extra columns are ignored. An empty table, or
-    one whose rows are all held out, trains a model of no words, for which every token is unknown.
+    one whose rows are all held out, trains a model of no words, for which every token is unknown. Null ids are never
+    held out. The model's files go when the scores are written. Words are told apart by 64-bit hashes.
     """
     model = train(docs.where(~held_out(id_col)), text_col, order)
-    made = score(docs.withColumn("_id", F.col(id_col).cast("long")), model, id_col, text_col)
+    made = materialise(score(docs, model, id_col, text_col), "scores")
+    drop_path(docs.sparkSession, f"file://{model.words.folder}")
     return made.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

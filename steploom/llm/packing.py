@@ -1,9 +1,10 @@
 """Packing by cutting stock: column generation over the histogram of piece lengths.
 
 Documents are tokenised once. A document longer than a sequence gives full sequences and a rest; the rests are packed.
-The driver sees only the histogram of their lengths (one number per length class): a linear program chooses how often
-to use each pattern of classes, a knapsack dynamic program finds the pattern with the best price, the solution is
-rounded, and ranked pieces of each class are dealt to the patterns' places by arithmetic on their rank.
+The driver sees only the histogram of their lengths: a linear program chooses how often to use each pattern of length
+classes, a knapsack dynamic program finds the pattern with the best price, the solution is rounded, and ranked pieces of
+each class are dealt to the patterns' places by arithmetic on their rank. Short pieces of one length go in bundles, which
+are packed as one piece, so that rounding lengths up to classes pads little at any length.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import Scratch, map_batches, materialise, small_batches
 
 CAPACITY = 4096
 #: Lengths are packed in classes of this many tokens, rounded up.
 GRAIN = 16
+#: Pieces of up to this many tokens go in bundles of about twice as many, of equal lengths.
+SHORT = 128
+#: Pieces of one class are ranked in blocks of about so many, if all pieces are of this class.
+BLOCK_ROWS = 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 # The tokenizer's own split of a lower-case text, for texts of Latin-1 letters only.
@@ -108,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), cut, PIECES)
 
 
 def price_pattern(prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -146,49 +151,58 @@ def largest_first(left: np.ndarray, sizes: np.ndarray, room: int) -> list[tuple[
     return out
 
 
-def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used; together they hold exactly ``demand`` pieces of each class.
+def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-3) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """(patterns and how often each is used, least number of sequences); together they hold exactly ``demand`` pieces of
+    each class.
 
     The linear program (cover the demand with the fewest sequences) starts from one-class patterns. Columns come from
-    patterns filled largest first while one of them has a good price, then from a knapsack dynamic program, until the
-    best price is within ``gap``. The basis inverse is updated by pivots. The solution is rounded down; what is left
-    goes largest first into sequences of its own.
+    patterns filled largest first while one of them has a good price, then from a knapsack dynamic program. Prices that
+    value no pattern above v prove that demand * prices / v sequences are needed; generation ends when the program is
+    within ``gap`` of the best such bound, which always happens as a demand moved by tiny amounts makes every pivot
+    count. The basis is inverted anew now and then. The solution is rounded down; what is left goes largest first into
+    sequences of its own.
     """
     classes = np.flatnonzero(demand)
     m = len(classes)
     if not m:
-        return []
+        return [], 0.0
     sizes, need = classes + 1, demand[classes].astype(float)
-    basis = [np.eye(m, dtype=np.int64)[i] * int(room // sizes[i]) for i in range(m)]
-    inverse = np.diag(1.0 / np.array([room // s for s in sizes]))
-    amount = inverse @ need
+    moved = need * (1 + 1e-6 * np.random.default_rng(m).random(m))
+    basis = np.diag(room // sizes)
+    inverse = np.diag(1.0 / (room // sizes))
+    amount = inverse @ moved
     pool = np.array([p for p, _ in largest_first(demand[classes].astype(np.int64), sizes, room)])
-    for _ in range(max_columns):
+    bound, pivots = float(need @ sizes) / room, 0
+    while True:
         prices = np.maximum(inverse.sum(0), 0)
-        full = np.zeros(int(sizes[-1]))
-        full[sizes - 1] = prices
-        known = pool @ prices
-        if known.max() > 1 + gap:
-            column = pool[int(known.argmax())]
+        worth = pool @ prices
+        if worth.max() > 1 + gap:
+            column = pool[int(worth.argmax())]
         else:
+            full = np.zeros(int(sizes[-1]))
+            full[classes] = prices
             value, wide = price_pattern(full, room)
-            if value <= 1 + gap:
+            bound = max(bound, float(need @ prices) / max(value, 1.0))
+            if value <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
                 break
-            column = wide[sizes - 1]
+            column = wide[classes]
         direction = inverse @ column
-        ratios = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
+        ratios = np.where(direction > 1e-9, np.maximum(amount, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
-        if not np.isfinite(ratios[out]):
-            break
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        amount = np.maximum(amount - direction * ratios[out], 0)
-        amount[out] = ratios[out]
-        basis[out] = column
+        basis[:, out] = column
+        pivots += 1
+        if pivots % 100:
+            row = inverse[out] / direction[out]
+            inverse -= np.outer(direction, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)
+        amount = amount - direction * ratios[out] if pivots % 100 else inverse @ moved
+        if pivots % 100:
+            amount[out] = ratios[out]
     used: dict[bytes, list] = {}
     left = demand[classes].astype(np.int64)
-    for pattern, x in zip(basis, np.floor(amount + 1e-6).astype(np.int64), strict=True):
+    for pattern, x in zip(basis.T, np.floor(np.maximum(amount, 0) + 1e-6).astype(np.int64), strict=True):
         x = min([int(x), *(left[pattern > 0] // pattern[pattern > 0]).tolist()])
         if x > 0:
             used.setdefault(pattern.tobytes(), [pattern, 0])[1] += x
@@ -200,7 +214,33 @@ def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns:
         wide = np.zeros(len(demand), np.int64)
         wide[classes] = pattern
         out.append((wide, times))
-    return out
+    return out, bound
+
+
+def bundles(counts: dict[int, int], grain: int, classes: int) -> tuple[list[tuple[int, int, int, int, int, int]], np.ndarray]:
+    """(rows, demand): a row (kind, first, last, each, class, base) says that the pieces of a kind with ranks from first
+    to last go, ``each`` of them together, to the class's places from base on.
+
+    A kind is a length up to SHORT, or SHORT plus a class. A full bundle of short pieces fills its class nearly; the few
+    short pieces beyond full bundles go one by one.
+    """
+    demand, rows = np.zeros(classes, np.int64), []
+
+    def go(kind: int, first: int, n: int, each: int, to: int) -> None:
+        if n:
+            rows.append((kind, first, first + n * each, each, to, int(demand[to])))
+            demand[to] += n
+
+    for kind in sorted(counts):
+        n = counts[kind]
+        if kind > SHORT:
+            go(kind, 0, n, 1, kind - SHORT - 1)
+        else:
+            each = max(1, 2 * SHORT // kind) if 2 * SHORT <= classes * grain else 1
+            full = n // each
+            go(kind, 0, full, each, -(-kind * each // grain) - 1)
+            go(kind, full * each, n - full * each, 1, -(-kind // grain) - 1)
+    return rows, demand
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,34 +249,40 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
     Null and empty texts are one end id; null ids stay null; repeated rows are packed each; extra columns are
     ignored; an empty table gives an empty result.
 
-    The pieces are written once. Their ranks within a class come from the counts of blocks (class, hash block) and
-    the rank in the block, so a class with most of the pieces is many blocks. The patterns' places are a table of
+    The pieces are written once. Their ranks within a kind come from the counts of blocks (kind, hash block) and
+    the rank in the block, so a kind with most of the pieces is many blocks. The patterns' places are a table of
     classes times patterns (bounded by the number of classes squared), joined on class and rank.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)
-    pieces = materialise(pieces.withColumn("class", (F.ceil(F.col("length") / grain) - 1).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(512)).cast("int")), "pieces")
-    blocks = pieces.groupBy("class", "block").agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialise(blocks.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))), "blocks")
-    demand = np.zeros(-(-capacity // grain), np.int64)
-    for row in blocks.groupBy("class").agg(F.sum("n").alias("n")).collect():  # one row per length class
-        demand[row["class"]] = row["n"]
-    places, base = [], 0
-    taken = np.zeros(len(demand), np.int64)
-    for pattern, times in cutting_stock(demand, len(demand)):
-        for k in np.flatnonzero(pattern):
-            each = int(pattern[k])
-            places.append((int(k), int(taken[k]), int(taken[k]) + each * times, each, base))
-            taken[k] += each * times
-        base += times
-    if not places:
-        places = [(-1, 0, 0, 1, 0)]
-    table = spark.createDataFrame(places, "class int, first bigint, last bigint, each bigint, base bigint")
-    place = Window.partitionBy("class", "block").orderBy(F.col("doc_id").isNull(), "doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("in_block", F.row_number().over(place) - 1).join(blocks.drop("n"), ["class", "block"]).withColumn("rank", F.col("before") + F.col("in_block"))
-    dealt = ranked.join(F.broadcast(table), (ranked["class"] == table["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
-    dealt = dealt.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("each")))
-    order = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), F.col("doc_id").isNull(), "doc_id", "start", "ids_crc32", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    with Scratch(spark, "packing") as work:
+        pieces = token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)
+        kind = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.lit(SHORT) + F.ceil(F.col("length") / grain)).cast("int")
+        pieces = work.table(pieces.withColumn("kind", kind), "pieces")
+        n_blocks = max(1, pieces.count() // BLOCK_ROWS)
+        pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks)))
+        up_to = Window.partitionBy("kind").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = pieces.groupBy("kind", "block").agg(F.count("*").alias("n"))
+        blocks = work.table(blocks.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))), "blocks")
+        counts = {r["kind"]: r["n"] for r in blocks.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row per length class
+        deal, demand = bundles(counts, grain, -(-capacity // grain))
+        places, base = [], 0
+        taken = np.zeros(len(demand), np.int64)
+        for pattern, times in cutting_stock(demand, capacity // grain)[0]:
+            for k in np.flatnonzero(pattern):
+                each = int(pattern[k])
+                places.append((int(k), int(taken[k]), int(taken[k]) + each * times, each, base))
+                taken[k] += each * times
+            base += times
+        kinds = spark.createDataFrame(deal or [(-1, 0, 0, 1, 0, 0)], "kind int, k_first bigint, k_last bigint, k_each bigint, class int, k_base bigint")
+        table = spark.createDataFrame(places or [(-1, 0, 0, 1, 0)], "class int, first bigint, last bigint, each bigint, base bigint")
+        place = Window.partitionBy("kind", "block").orderBy(F.col("doc_id").isNull(), "doc_id", "start", "ids_crc32")
+        ranked = pieces.withColumn("in_block", F.row_number().over(place) - 1).join(blocks.drop("n"), ["kind", "block"]).withColumn("rank", F.col("before") + F.col("in_block"))
+        inside = lambda rank, first, last: (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(last))
+        ranked = ranked.join(F.broadcast(kinds), (ranked["kind"] == kinds["kind"]) & inside("rank", "k_first", "k_last")).drop(kinds["kind"])
+        ranked = ranked.withColumn("place", F.col("k_base") + F.floor((F.col("rank") - F.col("k_first")) / F.col("k_each")))
+        dealt = ranked.join(F.broadcast(table), (ranked["class"] == table["class"]) & inside("place", "first", "last"))
+        dealt = dealt.withColumn("sequence_id", F.col("base") + F.floor((F.col("place") - F.col("first")) / F.col("each")))
+        order = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), F.col("doc_id").isNull(), "doc_id", "start", "ids_crc32", "rank").rowsBetween(Window.unboundedPreceding, -1)
+        dealt = dealt.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+        return materialise(dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "packed")

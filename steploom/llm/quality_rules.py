@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed_ngrams
+from .common import map_batches, unused
 from .tokens import IS_SPACE, Words, mix, slices, texts
 
 #: Mean log ratio per n-gram under which a document is rejected.
@@ -93,11 +94,15 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
             for a, b, columns in verdicts(batch.column(1), ratios.value, threshold):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns, types)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(per_batch, SCHEMA)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")), per_batch, SCHEMA)
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target: int = hashed_ngrams.MAX_TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``judge`` keeps, with all their columns and without a shuffle."""
+    """The rows that ``judge`` keeps, with all their columns and without a shuffle.
+
+    Null and empty texts go; null ids don't matter; rows that repeat are judged each alike, so all of them stay or go.
+    An empty table gives an empty result.
+    """
     ratios = _ratios(docs, labels, max_target, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,4 +112,4 @@ def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
             yield own.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 
-    return docs.select("*", F.coalesce(text_col, F.lit("")).alias("judged_text")).mapInArrow(keep, docs.schema)
+    return map_batches(docs.select("*", F.coalesce(text_col, F.lit("")).alias(unused(docs, "judged_text")[0])), keep, docs.schema)

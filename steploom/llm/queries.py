@@ -72,7 +72,7 @@ r as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
          case when t.source_size > 0 then t.target / t.source_size else 0.0 end::double as rate,
          row_number() over (partition by d.source
-           order by case when size > 0 then floor(8 * log2(size)) else -1 end, ('0x' || substr(digest, 1, 2))::int, size, doc_id) as rank,
+           order by case when size > 0 then floor(8 * log2(size)) else -1 end, ('0x' || substr(digest, 1, 8))::bigint, size, doc_id) as rank,
          ('0x' || substr(md5('mix:' || coalesce(d.source, chr(0) || 'null')), 1, 5))::int / 1048576.0::double as u
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,

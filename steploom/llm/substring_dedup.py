@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gram_shards as G
-from .common import materialise, small_batches
+from .common import map_batches, materialise, small_batches
 from .tokens import U64, Words, batches, mix, slices, texts
 
 WINDOW = 50
@@ -38,10 +38,11 @@ def _send(size: int, shards: int, hot: np.ndarray):
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.full(len(hot), LAST, np.int64)
         seen = np.zeros(len(hot), bool)
+        most = G.block_bytes(shards)
         for batch in rows:
             ids, marks = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             data, bounds = texts(batch.column(2))
-            for a, b in slices(bounds, G.BLOCK_BYTES):
+            for a, b in slices(bounds, most):
                 found = []
                 for c, d in slices(bounds[a : b + 1]):
                     c, d = a + c, a + d
@@ -64,7 +65,8 @@ def _send(size: int, shards: int, hot: np.ndarray):
                 if out:
                     yield _block(out)
         if seen.any():
-            spread = G.shard_of(hot, 64)
+            # As many shards as keep what all tasks send to one of them small.
+            spread = G.shard_of(hot, max(8, shards // 8))
             yield _block([(-1 - int(s), least[k].tobytes(), b"", b"", b"", b"", hot[k].tobytes()) for s in np.unique(spread[seen]) if (k := seen & (spread == s)).any()])
 
     return send
@@ -251,9 +253,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = True,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
     shards = G.shard_count(rows)
     hot = G.hot_hashes(rows, _window_hashes(size), "id")
-    blocks = rows.mapInArrow(_send(size, shards, hot), BLOCKS).repartition(shards, "shard").sortWithinPartitions("shard")
-    answers = blocks.mapInArrow(_merge(shards), REPLIES).repartition(shards, "bucket").sortWithinPartitions("bucket")
-    answers = materialise(answers.mapInArrow(_gather, "id bigint, mark bigint, places binary, hot bigint"), "answers")
+    blocks = G.dealt(map_batches(rows, _send(size, shards, hot), BLOCKS), shards)
+    answers = G.dealt(map_batches(blocks, _merge(shards), REPLIES), shards, "bucket")
+    answers = materialise(map_batches(answers, _gather, "id bigint, mark bigint, places binary, hot bigint"), "answers")
     hot_rows = answers.where("hot is not null").select("hot", "id").collect()  # MAX_HOT at most
     hot_rows.sort(key=lambda r: int(r["hot"]) % (1 << 64))
     hot_at = np.array([r["hot"] for r in hot_rows], np.int64).view(U64)
@@ -261,4 +263,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = True,
     told = answers.where("hot is null").select(F.when(F.col("id") != LAST, F.col("id")).alias("r_id"), F.col("mark").alias("r_mark"), "places")
     both = rows.join(told, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left").select("id", "text", "places")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, intervals array<bigint>, kept_text string"
-    return both.mapInArrow(_apply(size, hot_at, hot_least, with_text), schema)
+    return map_batches(both, _apply(size, hot_at, hot_least, with_text), schema)
