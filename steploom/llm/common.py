@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
     and driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -126,7 +126,7 @@ class Scratch:
         return self.spark.read.parquet(path)
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table of this folder ahead of the others."""
+        """Delete a table that nothing reads any more, ahead of the others."""
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             drop_path(self.spark, folder)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_table, materialise
+from .common import SPACE, Scratch, materialise, unused
 
 
 def normalised(text: str | Column) -> Column:
@@ -26,34 +26,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The bytes are compared there; rows whose bytes differ from their keeper's (a collision of the 128-bit hash) are
     grouped again by the text itself.
     """
-    spark = docs.sparkSession
+    return _groups(docs, id_col, text_col).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What ``exact_groups`` returns, with the length of each original text as n_chars."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # One order for "best row": longer first, then smaller id, null ids last.
     rank = F.struct((-F.length("text")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
-    groups = materialise(
-        rows.groupBy(F.unhex(F.md5(normalised("text"))).alias("hash")).agg(F.min(rank).alias("best"), F.count("*").alias("n")), "groups"
-    )
-    # The keepers of real groups, with their text: fetched by id and length, so that a hot group spreads over its ids.
-    wanted = groups.where("n > 1").select(F.col("best.id").alias("k_id"), F.col("best.neg").alias("neg"), F.col("hash").alias("k_hash"))
-    fetched = rows.join(wanted, F.col("id").eqNullSafe(F.col("k_id")) & (-F.length("text") == F.col("neg")))
-    keepers = (
-        fetched.select("k_hash", normalised("text").alias("k_text"))
-        .where(F.unhex(F.md5("k_text")) == F.col("k_hash"))
-        .dropDuplicates(["k_hash"])
-    )
-    keepers = materialise(groups.join(keepers, F.col("hash") == F.col("k_hash"), "left").select("hash", "best", "n", "k_text"), "keepers")
-    texts = rows.withColumn("norm", normalised("text"))
-    seen = texts.select("id", F.length("text").alias("n_chars"), "norm", F.unhex(F.md5("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
-    judged = seen.join(keepers, "hash").withColumn("same", F.coalesce(F.col("norm") == F.col("k_text"), F.lit(True)))
-    result = materialise(_verdict(judged, id_col), "exact")
-    if not result.where("not same").isEmpty():
-        lost = result.where("not same").groupBy("hash").agg(F.count("*").alias("lost"))
-        fair = result.where("same").join(lost, "hash", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
-        result = fair.drop("lost").unionByName(_collisions(judged.where("not same"), id_col))
-    else:
-        drop_table(keepers)
-    drop_table(groups)
-    return result.select(id_col, "keep_id", "group_size", "kept", "text_sha256")
+    with Scratch(docs.sparkSession, "exact") as work:
+        groups = work.table(rows.groupBy(F.unhex(F.md5(normalised("text"))).alias("hash")).agg(F.min(rank).alias("best"), F.count("*").alias("n")), "groups")
+        # The keepers of real groups, with their text: fetched by id and length, so that a hot group spreads over its ids.
+        wanted = groups.where("n > 1").select(F.col("best.id").alias("k_id"), F.col("best.neg").alias("neg"), F.col("hash").alias("k_hash"))
+        fetched = rows.join(wanted, F.col("id").eqNullSafe(F.col("k_id")) & (-F.length("text") == F.col("neg")))
+        keepers = (
+            fetched.select("k_hash", normalised("text").alias("k_text"))
+            .where(F.unhex(F.md5("k_text")) == F.col("k_hash"))
+            .dropDuplicates(["k_hash"])
+        )
+        keepers = work.table(groups.join(keepers, F.col("hash") == F.col("k_hash"), "left").select("hash", "best", "n", "k_text"), "keepers")
+        texts = rows.withColumn("norm", normalised("text"))
+        seen = texts.select("id", F.length("text").alias("n_chars"), "norm", F.unhex(F.md5("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
+        judged = seen.join(keepers, "hash").withColumn("same", F.coalesce(F.col("norm") == F.col("k_text"), F.lit(True)))
+        result = materialise(_verdict(judged, id_col), "exact")
+        if not result.where("not same").isEmpty():
+            first = result
+            lost = first.where("not same").groupBy("hash").agg(F.count("*").alias("lost"))
+            fair = first.where("same").join(lost, "hash", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
+            result = materialise(fair.drop("lost").unionByName(_collisions(judged.where("not same"), id_col)), "exact")
+            work.drop(first)
+    return result
 
 
 def _verdict(rows: DataFrame, id_col: str) -> DataFrame:
@@ -64,6 +66,7 @@ def _verdict(rows: DataFrame, id_col: str) -> DataFrame:
         F.col("n").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.neg"))).alias("kept"),
         "text_sha256",
+        "n_chars",
         "same",
     )
 
@@ -77,15 +80,21 @@ def _collisions(other: DataFrame, id_col: str) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of rows that repeat an id and a text, one stays."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    keep = materialise(keep.agg(F.count("*").alias("k_times")), "kept")
-    rows = docs.withColumn("k_own", F.sha2(normalised(text_col), 256)).join(
-        keep, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_sha"))
-    )
-    once = rows.where("k_times = 1").select(*docs.columns)
-    if keep.where("k_times > 1").isEmpty():
+    """The rows that stay, with all their columns: of each group the longest text, then the smallest id, null ids last.
+
+    Of rows that repeat an id, a length and a normalised text, one stays. Null and empty texts are one group. An empty
+    table gives an empty result.
+    """
+    own, n_own, k_id, k_sha, k_chars, k_times = unused(docs, "own_sha", "own_chars", "kept_id", "kept_sha", "kept_chars", "kept_times")
+    with Scratch(docs.sparkSession, "exact") as work:
+        judged = _groups(docs, id_col, text_col)
+        best = judged.where("kept").groupBy(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha), F.col("n_chars").alias(k_chars))
+        keep = materialise(best.agg(F.count("*").alias(k_times)), "kept")
+        work.drop(judged)
+    rows = docs.withColumn(own, F.sha2(normalised(text_col), 256)).withColumn(n_own, F.length(F.coalesce(text_col, F.lit(""))))
+    rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(own) == F.col(k_sha)) & (F.col(n_own) == F.col(k_chars)))
+    once = rows.where(F.col(k_times) == 1).select(*docs.columns)
+    if keep.where(F.col(k_times) > 1).isEmpty():
         return once
-    repeated = rows.where("k_times > 1").withColumn("k_len", F.length(F.coalesce(text_col, F.lit(""))))
-    one = repeated.groupBy("k_id", "k_sha").agg(F.max_by(F.struct(*docs.columns), F.struct("k_len", text_col)).alias("row"))
+    one = rows.where(F.col(k_times) > 1).groupBy(k_id, k_sha, k_chars).agg(F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(text_col, F.lit("")))).alias("row"))
     return once.unionByName(one.select("row.*"))
