@@ -21,7 +21,7 @@ SHARPNESS = 4.0
 
 
 def log_weights(docs: DataFrame, labels: DataFrame, seed: int = 1, max_target: int = hashed_ngrams.MAX_TARGET, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, log_ratio, log_weight, gumbel_key): log of p_target(text) / p_raw(text), ``sharpness`` times its mean over
+    """(doc_id, log_weight, draw_weight, gumbel_key): log of p_target(text) / p_raw(text), ``sharpness`` times its mean over
     the text's n-grams, and that plus Gumbel noise.
 
     The noise is a function of seed, id and text, so reruns agree.
@@ -39,10 +39,10 @@ def log_weights(docs: DataFrame, labels: DataFrame, seed: int = 1, max_target: i
                 drawn = mix(mix(marks[a:b], seed), 2)
                 uniform = ((drawn >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
                 columns = [sums, weights, weights - np.log(-np.log(uniform))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=["doc_id", "log_ratio", "log_weight", "gumbel_key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=["doc_id", "log_weight", "draw_weight", "gumbel_key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return map_batches(rows, per_batch, "doc_id bigint, log_ratio double, log_weight double, gumbel_key double")
+    return map_batches(rows, per_batch, "doc_id bigint, log_weight double, draw_weight double, gumbel_key double")
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> tuple[float, int]:
@@ -82,12 +82,12 @@ def in_top(values: DataFrame, columns: list[str], k: int) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 1, max_target: int = hashed_ngrams.MAX_TARGET, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, log_ratio, log_weight, gumbel_key, kept): Gumbel top-k draws ceil(share * rows) rows without replacement.
+    """(doc_id, log_weight, draw_weight, gumbel_key, kept): Gumbel top-k draws ceil(share * rows) rows without replacement.
 
-    Adding Gumbel noise to log weights and taking the k largest is sampling in proportion to the weights. The
+    Adding Gumbel noise to draw weights and taking the k largest is sampling in proportion to the weights. The
     threshold is the exact k-th largest key; equal keys go by the smallest id, null ids last, and rows that repeat an id
     and a text (they share their noise) by their place in the written table. Null and empty texts have log weight 0.
-    Without a target all weights are 1. Extra columns are ignored; an empty table gives an empty result.
+    Without a target all log weights are 0. Extra columns are ignored; an empty table gives an empty result.
     """
     keyed = materialise(log_weights(docs, labels, seed, max_target, sharpness, id_col, text_col).withColumn("place", F.monotonically_increasing_id()), "keys")
     n = keyed.count()
