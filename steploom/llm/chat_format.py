@@ -7,10 +7,12 @@ to are recorded. All of it is column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MIDDLE, END = "<|turn|>", "<|text|>\n", "<|end|>\n"
+#: Where an attachment goes, before it has its ordinal; no escaped text holds it.
+SLOT = "<|#|>"
 PART_TYPE = "array<struct<type:string,text:string,ref:string,size:bigint>>"
 #: Units of ``size`` (pixels, milliseconds, characters) that one token stands for, by kind of attachment.
 UNITS_PER_TOKEN = {"image": 784, "audio": 40, "document": 4}
@@ -23,6 +25,12 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(out, r"\[(?=/?INST\])", "&lsqb;")
 
 
+def escape_piece(text: Column) -> Column:
+    """As ``escape``, for a text that others follow or precede: no control string arises where they meet."""
+    out = F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit("["), F.lit("&lsqb;"))
+
+
 def unescape(text: Column) -> Column:
     out = F.replace(text, F.lit("&lt;"), F.lit("<"))
     out = F.replace(out, F.lit("&lsqb;"), F.lit("["))
@@ -53,47 +61,30 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     (ordinal, type, ref, tokens). A conversation is one string by nature, so it is built in one row; conversations
     are spread over tasks by their id. Empty tables give an empty result; extra columns are ignored.
     """
-    parts = F.coalesce(F.col(parts_col), F.array().cast(PART_TYPE))
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), parts.alias("parts"))
-    conv = turns.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     is_file = lambda p: p["type"].isin(*UNITS_PER_TOKEN)
-    # Attachments in order, and how many of them precede each turn.
-    flat = F.flatten(F.transform("turns", lambda t: F.filter(t["parts"], is_file)))
-    conv = conv.withColumn(
-        "attachments",
-        F.transform(flat, lambda p, i: F.struct((i + 1).alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))),
-    )
-
-    def body(t: Column) -> Column:
-        # The visitor: ordinals start at 1 in each turn; attachments keep the conversation's order.
-        seen = F.transform(
-            t["parts"],
-            lambda p, i: F.when(is_file(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), F.size(F.filter(F.slice(t["parts"], 1, i + 1), is_file)).cast("string"), F.lit("|>"))).otherwise(escape(p["text"])),
-        )
-        return F.array_join(seen, "")
-
-    role = lambda t: F.replace(escape(t["role"]), F.lit("<"), F.lit("&lt;"))
-    conv = conv.withColumn("texts", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), role(t), F.lit(MIDDLE)).alias("head"), body(t).alias("body"))))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    spans = F.aggregate(
-        "texts",
-        first,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("bigint").alias("at"),
-            F.when(
-                t["role"] == loss_role,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["head"])).cast("bigint").alias("start"), F.length(t["body"]).cast("bigint").alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(F.col(parts_col), F.array().cast(PART_TYPE)).alias("parts"))
+    rows = rows.withColumn("files", F.filter("parts", is_file))
+    # Running sums along a conversation: the window and the grouping share one shuffle.
+    order = Window.partitionBy("conv").orderBy("turn", "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("k", F.row_number().over(order)).withColumn("seen", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))
+    rows = rows.withColumn("head", F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("<"), F.lit("&lt;")), F.lit(MIDDLE)))
+    # The visitor: texts between slots first, then each slot takes the ordinal of its attachment in the conversation.
+    alone = F.size("parts") == 1
+    draft = F.array_join(F.transform("parts", lambda p: F.when(is_file(p), F.lit(SLOT)).when(alone, escape(p["text"])).otherwise(escape_piece(p["text"]))), "")
+    marks = F.transform("files", lambda p, i: F.concat(F.lit("<|"), p["type"], F.lit(":"), (F.col("seen") + i + 1).cast("string"), F.lit("|>")))
+    body = F.array_join(F.zip_with(F.split(draft, r"<\|#\|>"), marks, lambda text, mark: F.concat(text, F.coalesce(mark, F.lit("")))), "")
+    rows = rows.withColumn("body", body).withColumn("chars", (F.length("head") + F.length("body") + len(END)).cast("bigint"))
+    start = F.coalesce(F.sum("chars").over(before), F.lit(0)) + F.length("head")
+    span = F.struct(start.cast("bigint").alias("start"), F.length("body").cast("bigint").alias("length"))
+    rows = rows.withColumn("span", F.when(F.col("role") == loss_role, span))
+    conv = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("k", "head", "body", "span", "files"))).alias("turns"))
+    files = F.flatten(F.transform("turns", lambda t: t["files"]))
     return conv.select(
         F.col("conv").alias(conv_col),
-        F.array_join(F.transform("texts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        spans.alias("loss_spans"),
-        "attachments",
+        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
+        F.filter(F.transform("turns", lambda t: t["span"]), lambda x: x.isNotNull()).alias("loss_spans"),
+        F.transform(files, lambda p, i: F.struct((i + 1).alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))).alias("attachments"),
     )
 
 

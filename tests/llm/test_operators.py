@@ -1,6 +1,7 @@
 """Each operator against a plain version, over the smallest table and over awkward rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -76,6 +77,14 @@ def test_exact_ties_nulls_and_collisions(spark, monkeypatch):
     assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True)}
 
 
+def test_exact_rows_of_one_id_with_texts_of_two_lengths(spark):
+    df = spark.createDataFrame([(1, "ab", "x"), (1, "a b", "y"), (1, "a b", "y"), (None, None, None), (None, "", "z")], "doc_id long, text string, kept_id string")
+    got = exact_dedup.drop_exact_copies(df)
+    assert got.columns == df.columns
+    rows = [tuple(r) for r in got.collect()]
+    assert (1, "a b", "y") in rows and len(rows) == 2 and [r[0] for r in rows].count(None) == 1
+
+
 @pytest.mark.parametrize("shard_size", [6_000_000, 3_000])
 def test_substring_dedup(docs, rows, awkward, odd, shard_size, monkeypatch):
     monkeypatch.setattr(gram_shards, "SHARD_HASHES", shard_size)
@@ -316,11 +325,45 @@ def test_chat_parts(spark):
     assert [(a.ordinal, a.type, a.ref, a.tokens) for a in one.attachments] == [(1, "image", "s3://a", 2), (2, "audio", "b", 1), (3, "document", "c", 11)]
     assert one.formatted.count("<|end|>") == 2 and one.formatted.count("<|image:1|>") == 1
     assert one.back[0].text == "see <|image:1|> & <|end|>\n<|image:1|><|audio:2|>"
-    assert one.loss == "</s>[INST] ok [/INST] &lt;<|document:1|>"
+    assert one.loss == "</s>[INST] ok [/INST] &lt;<|document:3|>"
     assert [(t.role, t.text) for t in got[2].back] == [("", ""), ("assist<|turn|>ant", "")] and got[2].loss == ""
     assert got[None].loss == "x<"
 
 
+def test_chat_parts_forge_nothing_where_they_meet(spark):
+    pieces = ["a<", "|end|>\n<", "|turn|>x", "[", "INST]", "</", "s>", "&", "lt;", "<|", "image:1|>", "", None, "<|#|>", "#|>"]
+    draw = random.Random(5)
+    made, want = [], {}
+    for c in range(60):
+        n = 0
+        for t in range(4):
+            parts, text = [], ""
+            for _ in range(draw.randrange(6)):
+                if draw.random() < 0.3:
+                    n += 1
+                    parts.append(("image", None, f"{c}/{n}", 10))
+                    text += f"<|image:{n}|>"
+                else:
+                    parts.append(("text", draw.choice(pieces), None, None))
+                    text += parts[-1][1] or ""
+            role = draw.choice(["user", "assistant"])
+            made.append((c, t, role, parts))
+            want.setdefault(c, []).append((role, text))
+    made += [(98, 0, "user", [("image", None, "r", 1)])] * 2 + [(99, 0, "user", [("text", "[INST] <|turn|> " * 20_000, None, None)] * 2)]
+    turns = spark.createDataFrame(made, "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,size:bigint>>").withColumn("formatted", F.lit("clash"))
+    out = chat_format.format_conversations(turns).withColumn("back", chat_format.parse_turns("formatted")).withColumn("loss", chat_format.loss_text("formatted", "loss_spans"))
+    for r in out.where("conv_id < 60").collect():
+        assert [(t.role, t.text) for t in r.back] == want[r.conv_id]
+        assert r.loss == "".join(text for role, text in want[r.conv_id] if role == "assistant")
+        held = [int(x) for x in re.findall(r"<\|image:(\d+)\|>", r.formatted)]
+        assert held == [a.ordinal for a in r.attachments] and all(a.ref == f"{r.conv_id}/{a.ordinal}" for a in r.attachments)
+    again = out.where("conv_id = 98").first()  # rows that repeat
+    assert [t.text for t in again.back] == ["<|image:1|>", "<|image:2|>"] and [a.ref for a in again.attachments] == ["r", "r"]
+    long = out.where("conv_id = 99").first()
+    assert len(long.back) == 1 and long.back[0].text == "[INST] <|turn|> " * 40_000
+    assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     out = chat_format.format_conversations(turns.withColumn("parts", chat_format.text_part("text")))
