@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .tokens import U64
 
-#: Hashes of a shard, about. A task holds one shard at a time, in about a hundred bytes a hash.
-SHARD_HASHES = 1_000_000
+#: Hashes of a shard, about. A task holds one shard at a time. More and smaller shards would cost more bytes: each text
+#: has a key in each shard that it reaches.
+SHARD_HASHES = 3_000_000
 #: Partitions of a shuffle of blocks, at most; with more shards a partition holds a range of them, one after another.
 MAX_PARTITIONS = 20_000
 #: Frequent sequences, at most: those with over 1 / MAX_HOT of all hashes in the sample.

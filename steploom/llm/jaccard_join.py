@@ -21,6 +21,9 @@ from .tokens import U64, Words, batches, mix, slices, texts
 
 SIZE, NUM, DEN = 4, 85, 100
 FRAGMENTS = 8
+#: A task sorts its shard of hashes in so many parts, by their last bits, and deals its answers to so many times more
+#: buckets than there are shards: neither costs bytes in the shuffle, as smaller shards would.
+PARTS, BUCKETS = 8, 3
 
 
 def document_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +158,16 @@ def _merge(buckets: int):
             owner, hashes = owner[use], hashes[use]
             if not len(hashes):
                 continue
-            order = np.argsort(hashes).astype(np.int32)
-            ordered = hashes[order]
-            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            del ordered
-            runs = np.diff(np.append(edge, len(hashes))).astype(np.int32)
             freq = np.empty(len(hashes), np.int32)
-            freq[order] = np.repeat(runs, runs)
+            for part in range(PARTS):
+                at = np.flatnonzero(hashes % U64(PARTS) == U64(part)).astype(np.int32)
+                if len(at):
+                    own = hashes[at]
+                    order = np.argsort(own)
+                    at, own = at[order], own[order]
+                    edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    runs = np.diff(np.append(edge, len(own))).astype(np.int32)
+                    freq[at] = np.repeat(runs, runs)
             shared = freq > 1
             owner, hashes, freq = owner[shared], hashes[shared], freq[shared]
             if len(owner):
@@ -263,10 +269,11 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, fragments: int, id
     hot = G.hot_hashes(rows, _hashes(size), "id")
     only_text = rows.select("text")
     blocks = G.dealt(map_batches(only_text, _send(size, shards, hot), BLOCKS), shards)
-    told = map_batches(blocks, _merge(shards), REPLIES)
+    buckets = BUCKETS * shards
+    told = map_batches(blocks, _merge(buckets), REPLIES)
     if len(hot):
-        told = told.unionByName(map_batches(only_text, _hot_replies(size, hot, shards), REPLIES))
-    nodes = work.table(map_batches(G.dealt(told, shards, "bucket"), _gather(num, den), ORDERED), "ordered")
+        told = told.unionByName(map_batches(only_text, _hot_replies(size, hot, buckets), REPLIES))
+    nodes = work.table(map_batches(G.dealt(told, buckets, "bucket"), _gather(num, den), ORDERED), "ordered")
     links = _links(nodes, fragments, num, den, work)
     labels = components(sets.select("node").where("n > 0").distinct(), links, work)
     named = sets.where("n > 0").join(labels, "node").select("doc_id", "mark", "n", "comp")
