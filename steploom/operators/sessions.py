@@ -68,6 +68,25 @@ def session_models(names: DataFrame) -> DataFrame:
     )
 
 
+def session_names(infos: DataFrame) -> DataFrame:
+    """infos(session, line_no, name): the first name as it is, and the last one that isn't empty; '' without one."""
+    said = F.coalesce("name", F.lit("")) != ""
+    last = F.max_by(F.when(said, F.col("name")), F.when(said, F.col("line_no")))
+    return infos.groupBy("session").agg(F.min_by(F.coalesce("name", F.lit("")), "line_no").alias("first_name"), F.coalesce(last, F.lit("")).alias("last_name"))
+
+
+def completion(sessions: DataFrame, stops: DataFrame, calls: DataFrame) -> DataFrame:
+    """(session, completed): the last stop reason that isn't empty is ``stop``, or a call finished the session.
+
+    stops(session, turn, stop_reason) has a row per assistant message.
+    """
+    last = stops.where("stop_reason <> ''").groupBy("session").agg((F.max_by("stop_reason", "turn") == "stop").alias("_stopped"))
+    done = calls.groupBy("session").agg(F.bool_or(F.col("name") == "finish_and_exit").alias("_finished"))
+    no = F.lit(False)
+    ended = F.coalesce("_stopped", no) | F.coalesce("_finished", no)
+    return sessions.select("session").join(last, "session", "left").join(done, "session", "left").select("session", ended.alias("completed"))
+
+
 def selected(sessions: DataFrame, models: list[str] | None, prefixes: list[str], single_only: bool = True) -> Column:
     """The session filter. Without ``single_only`` a list of models matches nothing, as such sessions have no one model."""
     named = F.lit(False)
@@ -92,6 +111,8 @@ def ship_signals(calls: DataFrame, user: DataFrame) -> DataFrame:
         yes(cmd.rlike(PUSH) & fine & ~seen.contains("rejected") & ~seen.contains("error:")).alias("pushed"),
         yes(low.contains("gh issue close") & fine).alias("closed"),
         yes(low.contains("gh pr merge") & fine).alias("merged"),
+        yes(cmd.contains("gh issue close")).alias("close_called"),
+        yes(cmd.contains("gh pr merge")).alias("merge_called"),
         yes((low.contains("gh issue comment") | low.contains("gh pr comment")) & fine).alias("commented"),
         yes(cmd.rlike(COMMIT)).alias("committed"),
         yes(cmd.rlike(COMMIT) & fine).alias("commit_ok"),
@@ -122,14 +143,18 @@ def resolution_kind() -> Column:
     )
 
 
+def shipped() -> Column:
+    """A push that went through, or a call that closes an issue or merges, whatever its result says; over ship_signals."""
+    return F.col("pushed") | F.col("close_called") | F.col("merge_called")
+
+
 def success_label() -> Column:
     """success, failure or ambiguous, over ship_signals."""
-    shipped = F.col("pushed") | F.col("closed") | F.col("merged")
     return (
         F.when(F.col("n_user") <= 1, "failure")
         .when(~F.col("source_edit") & ~F.col("committed"), "failure")
-        .when(shipped & F.col("last_blame"), "ambiguous")
-        .when(shipped, "success")
+        .when(shipped() & F.col("last_blame"), "ambiguous")
+        .when(shipped(), "success")
         .when(F.col("commit_ok") & F.col("last_closeout"), "ambiguous")
         .otherwise("failure")
     )
@@ -163,3 +188,28 @@ def peer_rescue(sessions: DataFrame, bridge: DataFrame) -> DataFrame:
     won = resolved_issues(sessions, bridge)
     saved = bridge.join(sessions.where("not shipped"), "session").join(won, ["model", "key"], "left_semi").select("session").distinct().withColumn("rescued", F.lit(True))
     return sessions.join(saved, "session", "left").select("session", "model", "shipped", F.coalesce("rescued", F.lit(False)).alias("rescued"))
+
+
+def peer_landscape(sessions: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Per model, over its single-model sessions with an issue: sessions without a peer, and distinct peers by kind.
+
+    sessions(session, model, prefix), model null for sessions of several; bridge(session, key). Peers share an issue.
+    Sessions with equal sets of issues are counted as one, so sets are paired and never sessions; a session that
+    shares several issues with another is still one peer of it.
+    """
+    sets = bridge.groupBy("session").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(sessions, "session")
+    groups = sets.groupBy("keys", "model", "prefix").agg(F.count("*").alias("k"))
+    linked = groups.select("keys").distinct().select("keys", F.explode("keys").alias("key"))
+    near = linked.join(linked.select(F.col("keys").alias("other"), "key"), "key").select("keys", "other").distinct()
+    peers = groups.select(F.col("keys").alias("other"), F.col("model").alias("peer_model"), F.col("prefix").alias("peer_prefix"), F.col("k").alias("n"))
+    around = near.join(peers, "other").groupBy("keys", "peer_model", "peer_prefix").agg(F.sum("n").alias("n"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    itself = lambda p: (F.col("prefix") == p).cast("int")
+    one = groups.where("model is not null").join(around, "keys").groupBy("keys", "model", "prefix", "k").agg(
+        (F.sum("n") - 1).alias("peers"), (of(F.col("peer_model") == F.col("model")) - 1).alias("same"), of(F.col("peer_model") != F.col("model")).alias("diff"),
+        (of(F.col("peer_prefix") == "pr") - itself("pr")).alias("pr"), (of(F.col("peer_prefix") == "other") - itself("other")).alias("other"),
+    )
+    total = lambda c: F.sum(F.col(c) * F.col("k"))
+    return one.groupBy("model").agg(
+        F.sum(F.when(F.col("peers") == 0, F.col("k")).otherwise(0)).alias("no_peer"), total("same").alias("same_model"), total("diff").alias("other_model"), total("pr").alias("pr_peers"), total("other").alias("other_peers")
+    )

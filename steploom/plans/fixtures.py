@@ -6,7 +6,7 @@ the templates by hand, so that a query's oracle says nothing the rules said firs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -28,9 +28,21 @@ def _pick(values: list[str], index):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the users that are runs, with the number in their properties."""
-    e = table(spark, sf_dir, "events").where("user_id % 17 <> 5")
-    return e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    """Events of all users, each of whom is a run, with the number in their properties."""
+    return table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+
+
+def instance_of(run_id: Column) -> Column:
+    """Four runs in a row share an instance, one of each model; one run in 17 has an instance to itself, so it has no pair."""
+    return F.when(run_id % 17 == 5, -1 - run_id).otherwise(F.floor(run_id / 4))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, instance_id, resolved): an outcome table of its own, from the labels."""
+    run = F.col("doc_id")
+    return table(spark, sf_dir, "labels").select(
+        _pick(MODELS, run % 4).alias("model"), instance_of(run).alias("instance_id"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("resolved")
+    )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +53,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     places = F.broadcast(places.select("n_nationkey", F.concat("r_name", F.lit("/"), "n_name").alias("repo")))  # 25 rows
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_id"), "quality")
-    u = spend.withColumn("instance_no", F.floor(F.col("run_id") / 4)).withColumn("model", _pick(MODELS, F.col("run_id") % 4))
+    u = spend.withColumn("instance_no", instance_of(F.col("run_id"))).withColumn("model", _pick(MODELS, F.col("run_id") % 4))
     u = u.withColumn("exit_status", _pick(EXITS, (F.col("run_id") * 7) % 5)).withColumn("has_patch", F.col("exit_status").startswith("submitted"))
-    u = u.join(labels, "run_id", "left").join(places, F.col("instance_no") % 25 == F.col("n_nationkey"))
+    u = u.join(labels, "run_id", "left").join(places, F.floor(F.col("run_id") / 4) % 25 == F.col("n_nationkey"))
     resolved = (
         F.when(F.col("run_id") % 10 == 9, F.lit(None).cast("boolean"))
         .when(~F.col("has_patch"), False)
@@ -98,12 +110,12 @@ def _golden() -> list[tuple]:
 #: Common table expressions: tpl, tax, runs, steps (labelled).
 BASE_SQL = f"""with recursive tpl(tpl, intent, outcome, mode, act, path, action_chars, observation_chars) as ({dims.values_sql(_golden())}),
 tax(intent, category, letter, phase) as ({dims.values_sql(dims.taxonomy())}),
-ev as (select *, cast(regexp_extract(props, '[0-9]+') as int) as k from events where user_id % 17 <> 5),
+ev as (select *, cast(regexp_extract(props, '[0-9]+') as int) as k from events),
 spend as (
   select user_id as run_id, sum(value) / 100 as cost, cast(1000 * sum(k) as bigint) as tokens_sent, cast(sum(k) as bigint) as tokens_received, count(*) as api_calls
   from ev group by 1),
 runs as (
-  select s.run_id, s.run_id // 4 as instance_no, (array['claude45', 'gpt5', 'gemini25pro', 'glm45'])[s.run_id % 4 + 1] as model,
+  select s.run_id, case when s.run_id % 17 = 5 then -1 - s.run_id else s.run_id // 4 end as instance_no, (array['claude45', 'gpt5', 'gemini25pro', 'glm45'])[s.run_id % 4 + 1] as model,
          r_name || '/' || n_name as repo, x.exit_status, x.exit_status like 'submitted%' as has_patch,
          case when x.exit_status like 'submitted%' then 100 + (s.run_id * 37) % 900 else 0 end as patch_chars,
          case when s.run_id % 10 = 9 then null when x.exit_status not like 'submitted%' then false

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.outcomes import repo_of_instance as repo_of
 from ..functions.text import command_signature as signature_of
 from ..functions.text import git_subcommand as subcommand_of
 from ..functions.text import strip_wrappers, unwrap_command
 from ..operators import marts, pairing, sequences
+from ..sources import ingest
 from . import fixtures
 from .fixtures import BASE_SQL
 from .templates import GIT, SIGNATURES, STEPS
@@ -42,11 +44,11 @@ def per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.steps(spark, sf_dir).groupBy("run_id", "model").agg(F.count("*").alias("steps"))
 
 
-@query("select run_id, model, step_idx, act is not null as has_action, action_chars, observation_chars, execution_time from steps")
+@query("select run_id, model, step_idx, action_chars > 0 as has_action, action_chars, observation_chars, execution_time from steps")
 def steps(spark, sf_dir):
     s = fixtures.steps(spark, sf_dir)
     chars = lambda c: F.length(F.coalesce(c, F.lit(""))).cast("long")
-    return s.select("run_id", "model", "step_idx", F.lit(True).alias("has_action"), chars("action").alias("action_chars"), chars("observation").alias("observation_chars"), "execution_time")
+    return s.select("run_id", "model", "step_idx", (chars("action") > 0).alias("has_action"), chars("action").alias("action_chars"), chars("observation").alias("observation_chars"), "execution_time")
 
 
 @query("select run_id, step_idx, intent from steps")
@@ -450,16 +452,27 @@ def sequence_rle(spark, sf_dir):
     return sequences.run_lengths(fixtures.labelled(spark, sf_dir))
 
 
-@query("select run_id, model, coalesce(resolved, false) as resolved from runs")
+@query(f"""select (array{fixtures.MODELS})[doc_id % 4 + 1] as model, case when doc_id % 17 = 5 then -1 - doc_id else doc_id // 4 end as instance_id,
+  coalesce(quality = 1, false) as resolved from labels""")
+def resolution_dim(spark, sf_dir):
+    return fixtures.outcomes(spark, sf_dir)
+
+
+@query("select r.run_id, r.model, exists (select 1 from labels where doc_id = r.run_id and quality = 1) as resolved from runs r")
 def runs_resolved(spark, sf_dir):
-    r = fixtures.runs(spark, sf_dir)
-    outcomes = r.select(F.col("run_id").alias("o_id"), F.col("resolved").alias("won")).where("won is not null")
-    return r.join(outcomes, F.col("run_id") == F.col("o_id"), "left").select("run_id", "model", F.coalesce("won", F.lit(False)).alias("resolved"))
+    r = fixtures.runs(spark, sf_dir).select("run_id", "model", F.col("instance_no").alias("instance_id"))
+    return ingest.with_resolution(r, fixtures.outcomes(spark, sf_dir)).select("run_id", "model", "resolved")
 
 
-@query("select run_id, model, resolved from runs")
+@query("""select r.run_id, r.model, coalesce(case when r.run_id % 3 = 0 then r.resolved end, c.resolved) as resolved
+from runs r left join runs c on c.instance_no = r.instance_no and c.model = 'claude45'""")
 def runs_eval(spark, sf_dir):
-    return fixtures.runs(spark, sf_dir).select("run_id", "model", "resolved")
+    """Runs with evaluations of two scopes: one run in three has one of its own model, all share the first model's."""
+    r = fixtures.runs(spark, sf_dir).select("run_id", "model", F.col("instance_no").alias("instance_id"), "resolved")
+    known = r.where("resolved is not null")
+    own = known.where("run_id % 3 = 0").select(F.col("model").alias("scope"), "instance_id", "resolved")
+    shared = known.where("model = 'claude45'").select(F.lit("__all__").alias("scope"), "instance_id", "resolved")
+    return ingest.with_outcomes(r.drop("resolved"), own.unionByName(shared)).select("run_id", "model", "resolved")
 
 
 @query(", m as (select case when model in ('claude45', 'gpt5') then 'frontier' else model end as model, intent from steps) select model, intent, count(*) as n, count(*)::double / sum(count(*)) over (partition by model) as share from m group by 1, 2")
@@ -479,9 +492,14 @@ def cleanup_decomposition(spark, sf_dir):
     return fixtures.labelled(spark, sf_dir).where("category in ('git', 'housekeeping')").rollup("category", "intent").agg(F.count("*").alias("n"))
 
 
-@query("select model, regexp_replace(repo, '^.*/', '') as place, count(*) as n from runs group by 1, 2")
+@query("""select run_id, model, regexp_replace(repo, '^.*/', '') || case when run_id % 5 = 1 then '-' || left(md5(run_id::varchar), 6) else '' end as place from runs""")
 def repo_of_instance(spark, sf_dir):
-    return fixtures.runs(spark, sf_dir).groupBy("model", F.substring_index("repo", "/", -1).alias("place")).agg(F.count("*").alias("n"))
+    """Repository names out of instance ids: with a commit, with a version behind it, with neither, and with too few hex digits for a commit."""
+    run, place = F.col("run_id"), F.substring_index("repo", "/", -1)
+    commit = F.left(F.md5(run.cast("string")), F.when(run % 5 == 1, 6).otherwise((run % 26 + 7).cast("int")))
+    version = F.when((run % 3 == 0) & (run % 5 != 1), "-v1-0").otherwise("")
+    instance = F.when(run % 5 == 0, place).otherwise(F.concat(place, F.lit("-"), commit, version))
+    return fixtures.runs(spark, sf_dir).select("run_id", "model", repo_of(instance).alias("place"))
 
 
 _SIGNED = dims.values_sql([(k, SIGNATURES.get(a, " ".join((a or "").split("\n")[0].lower().split())), GIT.get(a, "")) for k, (a, *_) in enumerate(STEPS)])

@@ -29,13 +29,25 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
 
 
+def name_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, line_no, name): a draft name comes first in some sessions, an empty one last in others."""
+    one, s = turns(spark, sf_dir).select("session").distinct(), F.col("session")
+    kind = F.when(s % 3 == 1, "Issue: ").otherwise("PR: ")
+    name = F.when(s % 3 == 0, "").otherwise(F.concat(kind, F.lit(ISSUES), (s % 28).cast("string")))
+    draft = one.where("session % 5 = 0 and session % 3 <> 0").select("session", F.lit(0).alias("line_no"), F.concat(F.lit("Draft "), s.cast("string")).alias("name"))
+    emptied = one.where("session % 2 = 0").select("session", F.lit(2).alias("line_no"), F.when(s % 4 == 0, "").alias("name"))
+    return draft.unionByName(one.select("session", F.lit(1).alias("line_no"), name.alias("name"))).unionByName(emptied)
+
+
 def session_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session, name, stop_reason): one row per session."""
-    last = F.max_by("role", "turn") == "assistant"
-    s = turns(spark, sf_dir).groupBy("session").agg(last.alias("ends_well"), F.max("turn").alias("last_turn"))
-    kind = F.when(F.col("session") % 3 == 1, "Issue: ").otherwise("PR: ")
-    name = F.when(F.col("session") % 3 == 0, "").otherwise(F.concat(kind, F.lit(ISSUES), (F.col("session") % 28).cast("string")))
-    return s.select("session", name.alias("name"), F.when(F.col("session") % 4 == 0, "length").otherwise("stop").alias("stop_reason"))
+    """(session, name): one row per session, with its last name that isn't empty."""
+    return S.session_names(name_events(spark, sf_dir)).select("session", F.col("last_name").alias("name"))
+
+
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, turn, stop_reason): one row per assistant turn; some have an empty reason or none."""
+    reason = F.get(F.array(F.lit("length"), F.lit("stop"), F.lit(None), F.lit("")), ((F.col("session") + F.col("turn")) % 4).cast("int"))
+    return turns(spark, sf_dir).where("role = 'assistant'").select("session", "turn", reason.alias("stop_reason"))
 
 
 def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +59,13 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, turn, text): a template, in front of it being what tells its class, then a link in some, then the turn's own text."""
     t = turns(spark, sf_dir).where("role = 'user'")
     said = spark.createDataFrame([(k, m[0]) for k, m in enumerate(MESSAGES)], "mt int, said string")
     t = t.withColumn("mt", ((F.col("session") * 7 + F.col("turn")) % len(MESSAGES)).cast("int")).join(F.broadcast(said), "mt")
     first = F.min("turn").over(S.Window.partitionBy("session")) == F.col("turn")
-    link = F.when(first & (F.col("session") % 6 == 0), F.concat(F.lit(" " + ISSUES), (F.col("session") % 28).cast("string"))).otherwise("")
-    return t.select("session", "turn", F.concat("said", link).alias("text"))
+    link = F.when(first & (F.col("session") % 6 == 0), F.concat(F.lit(" " + ISSUES), ((F.col("session") + 1) % 28).cast("string"))).otherwise("")
+    return t.select("session", "turn", F.concat("said", link, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 CALL_FIELDS = "tt int, name string, path string, command string, pattern string, has_range boolean, old_text string"
@@ -113,7 +126,7 @@ said(mt, text, first_class, later_class) as ({dims.values_sql([(k, *m) for k, m
 tax(intent, category, letter, phase) as ({dims.values_sql(dims.taxonomy(True))}),
 info as (
   select conv_id as session, case when conv_id % 3 = 0 then '' else case conv_id % 3 when 1 then 'Issue: ' else 'PR: ' end || '{ISSUES}' || (conv_id % 28) end as name,
-         case when conv_id % 4 = 0 then 'length' else 'stop' end as stop_reason, conv_id % 11 <> 0 as single,
+         conv_id % 11 <> 0 as single,
          case when conv_id % 11 <> 0 then (array['claude-opus-4-6', 'claude-sonnet-4-5', 'gpt-5.4', 'gemini-2.5-pro', 'glm-4.5'])[conv_id % 5 + 1] end as model
   from (select distinct conv_id from conversations)),
 calls as (
@@ -121,38 +134,44 @@ calls as (
   from (select conv_id, turn, unnest(range(0, length(coalesce(text, '')) % 4 + 1)) as j from conversations where role = 'assistant') c
   join tools t on t.tt = (c.conv_id + 3 * c.turn + c.j) % {len(TOOLS)}),
 um as (
-  select conv_id as session, turn, row_number() over (partition by conv_id order by turn) as message_index, mt
-  from (select conv_id, turn, (conv_id * 7 + turn) % {len(MESSAGES)} as mt from conversations where role = 'user')),
+  select conv_id as session, turn, row_number() over (partition by conv_id order by turn) as message_index, mt, body
+  from (select conv_id, turn, coalesce(text, '') as body, (conv_id * 7 + turn) % {len(MESSAGES)} as mt from conversations where role = 'user')),
+spoken as (
+  select um.*, first_class, later_class, said.text || case when message_index = 1 and session % 6 = 0 then ' {ISSUES}' || ((session + 1) % 28) else '' end || ' ' || body as text
+  from um join said using (mt)),
 msgs as (
-  select um.session, um.turn, um.message_index, case when message_index = 1 then first_class else later_class end as class,
-         said.text || case when message_index = 1 and um.session % 6 = 0 then ' {ISSUES}' || (um.session % 28) else '' end as text,
+  select um.session, um.turn, um.message_index, um.text,
+         case when (case when message_index = 1 then first_class else later_class end) = 'authorize_work' and length(trim(regexp_replace(um.text, '\\s+', ' ', 'g'))) > 220
+                and regexp_matches(lower(um.text), 'should|instead|@packages/|model selector|wraps the|use ') then 'solution_steer'
+              when message_index = 1 then first_class else later_class end as class,
          coalesce((select count(*) from calls c where c.session = um.session and c.turn < um.turn), 0) as steps_before,
          coalesce((select count(*) from calls c where c.session = um.session), 0) as total_steps
-  from um join said using (mt)),
+  from spoken um),
 mm as (
   select msgs.*, info.model, case when total_steps > 0 then steps_before * 100.0::double / total_steps else 0 end as progress
   from msgs join info using (session) where single),
 bridge as (
   select distinct session, cast(session % 28 as varchar) as key from info where name <> ''
-  union select session, cast(session % 28 as varchar) from um where message_index = 1 and session % 6 = 0),
+  union select session, cast((session + 1) % 28 as varchar) from um where message_index = 1 and session % 6 = 0),
 users as (
   select session, count(*) as n_user, arg_max(text, message_index) as last_text from msgs group by 1),
 acts as (
   select session,
     bool_or(coalesce(contains(command, 'git push'), false) and ok and not (m <> 0 and contains(result, 'rejected'))) as pushed,
     bool_or(coalesce(contains(command, 'gh issue close'), false) and ok) as closed, bool_or(coalesce(contains(command, 'gh pr merge'), false) and ok) as merged,
+    bool_or(coalesce(contains(command, 'gh issue close'), false)) as close_called, bool_or(coalesce(contains(command, 'gh pr merge'), false)) as merge_called,
     bool_or(coalesce(contains(command, 'gh issue comment'), false) and ok) as commented, bool_or(coalesce(contains(command, 'git commit'), false)) as committed,
     bool_or(coalesce(contains(command, 'git commit'), false) and ok) as commit_ok,
     bool_or(name in ('edit', 'write') and path in ('/r/demo.ts', '/r/check.ts', '/r/new.ts', '/r/a.ts', '/r/a.spec.ts', '/r/verify.ts')) as source_edit
   from (select *, case when m = 0 then true when m = 1 then bad else not bad end as ok from calls) group by 1),
 sig as (
-  select info.session, coalesce(n_user, 0) as n_user, coalesce(pushed, false) as pushed, coalesce(closed, false) as closed, coalesce(merged, false) as merged, coalesce(commented, false) as commented,
+  select info.session, coalesce(n_user, 0) as n_user, coalesce(pushed, false) as pushed, coalesce(closed, false) as closed, coalesce(merged, false) as merged, coalesce(close_called, false) as close_called, coalesce(merge_called, false) as merge_called, coalesce(commented, false) as commented,
     coalesce(committed, false) as committed, coalesce(commit_ok, false) as commit_ok, coalesce(source_edit, false) as source_edit, false as any_close, false as last_close,
     coalesce(n_user >= 2 and (contains(last_text, 'commit and push') or contains(last_text, 'lgtm')), false) as last_closeout,
     coalesce(n_user >= 2 and (contains(last_text, 'brittle') or contains(last_text, 'we established that')), false) as last_blame
   from info left join users using (session) left join acts using (session) where users.session is not null or acts.session is not null),
 kinds as (select *, case when pushed then 'push' when merged then 'gh_merge' when closed then 'gh_close' when commented and any_close then 'gh_comment' when last_close then 'user_close' else '' end as kind from sig),
-ship as (select info.session, info.model, coalesce(pushed or closed or merged, false) as shipped from info left join sig using (session) where single)
+ship as (select info.session, info.model, coalesce(pushed or close_called or merge_called, false) as shipped from info left join sig using (session) where single)
 """
 
 
@@ -222,15 +241,18 @@ def filtered_sessions(spark, sf_dir):
     return joined.agg(F.count("*").alias("n_all"), F.count("chosen").alias("n_selected"), marts.count_if(F.col("chosen").isNull()).alias("n_left_out"))
 
 
-@query("select info.session, stop_reason = 'stop' or coalesce(f, false) as completed from info left join (select session, bool_or(name = 'finish_and_exit') as f from calls group by 1) c using (session)")
+@query("""select info.session, coalesce(last_reason = 'stop', false) or coalesce(f, false) as completed from info
+left join (select conv_id as session, arg_max(reason, turn) as last_reason
+  from (select conv_id, turn, (array['length', 'stop', null, ''])[(conv_id + turn) % 4 + 1] as reason from conversations where role = 'assistant') where reason <> '' group by 1) using (session)
+left join (select session, bool_or(name = 'finish_and_exit') as f from calls group by 1) c using (session)""")
 def session_completion(spark, sf_dir):
-    finished = calls(spark, sf_dir).groupBy("session").agg(F.bool_or(F.col("name") == "finish_and_exit").alias("f"))
-    return session_info(spark, sf_dir).join(finished, "session", "left").select("session", ((F.col("stop_reason") == "stop") | F.coalesce("f", F.lit(False))).alias("completed"))
+    return S.completion(session_info(spark, sf_dir), stops(spark, sf_dir), calls(spark, sf_dir))
 
 
-@query("select info.session, name, text as first_text from info left join (select session, text from msgs where message_index = 1) m using (session)")
+@query("""select info.session, case when info.session % 5 = 0 and info.session % 3 <> 0 then 'Draft ' || info.session else name end as first_name, name as last_name, text as first_text from info
+left join (select session, text from msgs where message_index = 1) m using (session)""")
 def session_names(spark, sf_dir):
-    return session_info(spark, sf_dir).select("session", "name").join(first_text(spark, sf_dir), "session", "left")
+    return S.session_names(name_events(spark, sf_dir)).join(first_text(spark, sf_dir), "session", "left")
 
 
 @query("select session, turn, message_index, class from mm")
@@ -283,7 +305,7 @@ def issue_keys(spark, sf_dir):
     return bridge(spark, sf_dir)
 
 
-@query("select session, n_user, pushed, closed, merged, commented, committed, commit_ok, any_close, last_close, last_closeout, last_blame, source_edit from sig")
+@query("select session, n_user, pushed, closed, merged, close_called, merge_called, commented, committed, commit_ok, any_close, last_close, last_closeout, last_blame, source_edit from sig")
 def ship_signals(spark, sf_dir):
     return signals(spark, sf_dir)
 
@@ -293,13 +315,13 @@ def resolution_kind(spark, sf_dir):
     return signals(spark, sf_dir).select("session", S.resolution_kind().alias("kind"))
 
 
-@query("""select session, case when n_user <= 1 then 'failure' when not source_edit and not committed then 'failure' when (pushed or closed or merged) and last_blame then 'ambiguous'
-  when pushed or closed or merged then 'success' when commit_ok and last_closeout then 'ambiguous' else 'failure' end as label from sig""")
+@query("""select session, case when n_user <= 1 then 'failure' when not source_edit and not committed then 'failure' when (pushed or close_called or merge_called) and last_blame then 'ambiguous'
+  when pushed or close_called or merge_called then 'success' when commit_ok and last_closeout then 'ambiguous' else 'failure' end as label from sig""")
 def session_success(spark, sf_dir):
     return signals(spark, sf_dir).select("session", S.success_label().alias("label"))
 
 
-@query(", l as (select model, case when n_user <= 1 then 'failure' when not source_edit and not committed then 'failure' when (pushed or closed or merged) and last_blame then 'ambiguous' when pushed or closed or merged then 'success' when commit_ok and last_closeout then 'ambiguous' else 'failure' end as label from sig join info using (session) where single) select model, label, count(*) as n from l group by grouping sets ((model, label), (label))")
+@query(", l as (select model, case when n_user <= 1 then 'failure' when not source_edit and not committed then 'failure' when (pushed or close_called or merge_called) and last_blame then 'ambiguous' when pushed or close_called or merge_called then 'success' when commit_ok and last_closeout then 'ambiguous' else 'failure' end as label from sig join info using (session) where single) select model, label, count(*) as n from l group by grouping sets ((model, label), (label))")
 def session_success_counts(spark, sf_dir):
     own = S.session_models(model_names(spark, sf_dir)).where("single").select("session", "model")
     rows = signals(spark, sf_dir).select("session", S.success_label().alias("label")).join(own, "session")
@@ -324,7 +346,7 @@ def issue_resolution(spark, sf_dir):
 
 def shipped_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session_table(spark, sf_dir).where("single").select("session", "model")
-    sig = signals(spark, sf_dir).select("session", (F.col("pushed") | F.col("closed") | F.col("merged")).alias("shipped"))
+    sig = signals(spark, sf_dir).select("session", S.shipped().alias("shipped"))
     return s.join(sig, "session", "left").select("session", "model", F.coalesce("shipped", F.lit(False)).alias("shipped"))
 
 
@@ -347,35 +369,26 @@ def resolution_schemes(spark, sf_dir):
     return count(r, "session", F.col("shipped")).unionByName(count(r, "rescue", F.col("shipped") | F.col("rescued"))).unionByName(count(issues, "issue", F.col("w")))
 
 
-@query(""", per as (select key, model, case when starts_with(lower(name), 'pr:') then 'pr' when starts_with(lower(name), 'issue:') then 'issue' else 'other' end as prefix, count(*) as k from bridge join info using (session) group by 1, 2, 3),
-me as (select b.session, b.key, i.model, case when starts_with(lower(i.name), 'pr:') then 'pr' when starts_with(lower(i.name), 'issue:') then 'issue' else 'other' end as prefix from bridge b join info i using (session) where i.single),
-j as (select me.session, me.model, coalesce(sum(per.k), 0) - 1 as peers, coalesce(sum(per.k) filter (per.model = me.model), 0) - 1 as same, coalesce(sum(per.k) filter (per.model <> me.model), 0) as diff,
-  coalesce(sum(per.k) filter (per.prefix = 'pr'), 0) - max(case when me.prefix = 'pr' then 1 else 0 end) as pr, coalesce(sum(per.k) filter (per.prefix = 'other'), 0) - max(case when me.prefix = 'other' then 1 else 0 end) as other
-  from me join per using (key) group by 1, 2)
-select model, count(*) filter (peers = 0) as no_peer, cast(sum(same) as bigint) as same_model, cast(sum(diff) as bigint) as other_model, cast(sum(pr) as bigint) as pr_peers, cast(sum(other) as bigint) as other_peers from j group by model""")
+@query(""", w as (select session, single, model, case when starts_with(lower(name), 'pr:') then 'pr' when starts_with(lower(name), 'issue:') then 'issue' else 'other' end as prefix from info),
+pp as (select distinct b.session, o.session as peer from bridge b join bridge o on b.key = o.key and b.session <> o.session),
+j as (select w.session, w.model, count(q.session) as peers, count(*) filter (q.model = w.model) as same, count(*) filter (q.model <> w.model) as diff,
+    count(*) filter (q.prefix = 'pr') as pr, count(*) filter (q.prefix = 'other') as other
+  from w left join pp on pp.session = w.session left join w q on q.session = pp.peer
+  where w.single and w.session in (select session from bridge) group by 1, 2)
+select model, count(*) filter (peers = 0) as no_peer, cast(sum(same) as bigint) as same_model, cast(sum(diff) as bigint) as other_model,
+  cast(sum(pr) as bigint) as pr_peers, cast(sum(other) as bigint) as other_peers from j group by model""")
 def peer_landscape(spark, sf_dir):
-    """Peers on a session's issue by kind. Sessions are counted per issue first, so no pairs are made.
-
-    Here a session has one issue at most, so peers on its issue are its distinct peers.
-    """
     low = F.lower("name")
-    s = session_table(spark, sf_dir).select("session", "model", F.when(low.startswith("pr:"), "pr").when(low.startswith("issue:"), "issue").otherwise("other").alias("prefix"))
-    keyed = bridge(spark, sf_dir).join(s, "session")
-    per = keyed.groupBy("key", F.col("model").alias("peer_model"), F.col("prefix").alias("peer_prefix")).agg(F.count("*").alias("k"))
-    me = keyed.where("model is not null").join(per, "key")
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
-    one = me.groupBy("session", "model").agg(
-        (F.sum("k") - 1).alias("peers"), (of(F.col("peer_model") == F.col("model")) - 1).alias("same"), of(F.col("peer_model") != F.col("model")).alias("diff"),
-        (of(F.col("peer_prefix") == "pr") - F.max((F.col("prefix") == "pr").cast("int"))).alias("pr"), (of(F.col("peer_prefix") == "other") - F.max((F.col("prefix") == "other").cast("int"))).alias("other"),
-    )
-    return one.groupBy("model").agg(
-        marts.count_if(F.col("peers") == 0).alias("no_peer"), F.sum("same").alias("same_model"), F.sum("diff").alias("other_model"), F.sum("pr").alias("pr_peers"), F.sum("other").alias("other_peers")
-    )
-
-
-COMPARED = """, a as (select intent, 100.0::double * count(*) / sum(count(*)) over () as p from st group by 1),
+    prefix = F.when(low.startswith("pr:"), "pr").when(low.startswith("issue:"), "issue").otherwise("other")
+    return S.peer_landscape(session_table(spark, sf_dir).select("session", "model", prefix.alias("prefix")), bridge(spark, sf_dir))
+
+
+COMPARED = """, sa as (select intent, model, 100.0::double * count(*) / sum(count(*)) over (partition by model) as p from st group by 1, 2),
+a as (select intent, max(p) filter (model = 'claude45') as claude45, max(p) filter (model = 'gpt5') as gpt5 from sa where model in ('claude45', 'gpt5') group by 1),
 b as (select i.model, case when m = 0 then intent_none else calls.intent end as intent from calls join info i using (session) where single),
-c as (select intent, 100.0::double * count(*) / sum(count(*)) over () as q from b group by 1)
+sb as (select intent, model, 100.0::double * count(*) / sum(count(*)) over (partition by model) as p from b group by 1, 2),
+c as (select intent, max(p) filter (model = 'gpt-5.4') as gpt_5_4, max(p) filter (model = 'claude-opus-4-6') as claude_opus_4_6 from sb
+  where model in ('gpt-5.4', 'claude-opus-4-6') group by 1)
 """
 
 
@@ -389,16 +402,23 @@ def _run_sql(sql: str) -> str:
 
 @query()
 def intent_comparison_4way(spark, sf_dir):
-    """Intents of runs and of sessions per 100 steps, side by side, with where each is shown."""
+    """Intents of two run models and two session models per 100 steps of each, side by side, with where each is shown."""
     from .fixtures import labelled
 
-    own = S.session_models(model_names(spark, sf_dir)).where("single").select("session")
-    per = lambda df, name: (lambda c: c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("intent", (F.col("n") * 100.0 / F.col("t")).alias(name)))(df.groupBy("intent").agg(F.count("*").alias("n")))
-    joined = per(labelled(spark, sf_dir), "runs").join(per(labelled_calls(spark, sf_dir).join(own, "session"), "sessions"), "intent", "full_outer")
-    return joined.select("intent", "runs", "sessions", F.col("runs").isNotNull().alias("in_runs"), F.col("sessions").isNotNull().alias("in_sessions"))
+    def rates(steps, models):
+        n = steps.where(F.col("model").isin(*models)).groupBy("intent", "model").agg(F.count("*").alias("n"))
+        rate = n.withColumn("p", F.col("n") * 100.0 / F.sum("n").over(S.Window.partitionBy("model")))
+        return rate.groupBy("intent").agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(name) for m, name in models.items()], F.lit(True).alias("shown"))
+
+    own = S.session_models(model_names(spark, sf_dir)).where("single").select("session", "model")
+    a = rates(labelled(spark, sf_dir), {"claude45": "claude45", "gpt5": "gpt5"}).withColumnRenamed("shown", "in_runs")
+    b = rates(labelled_calls(spark, sf_dir).join(own, "session"), {"gpt-5.4": "gpt_5_4", "claude-opus-4-6": "claude_opus_4_6"}).withColumnRenamed("shown", "in_sessions")
+    return a.join(b, "intent", "full_outer").na.fill(False, ["in_runs", "in_sessions"])
 
 
-ORACLES["intent_comparison_4way"] = _run_sql(COMPARED + "select coalesce(a.intent, c.intent) as intent, p as runs, q as sessions, p is not null as in_runs, q is not null as in_sessions from a full join c on a.intent = c.intent")
+ORACLES["intent_comparison_4way"] = _run_sql(
+    COMPARED + "select coalesce(a.intent, c.intent) as intent, claude45, gpt5, gpt_5_4, claude_opus_4_6, a.intent is not null as in_runs, c.intent is not null as in_sessions from a full join c on a.intent = c.intent"
+)
 
 #: Session models and the run models they are compared with.
 BASELINES = {"claude-opus-4-6": "claude45", "claude-sonnet-4-5": "claude45", "gpt-5.4": "gpt5", "gemini-2.5-pro": "gemini25pro", "glm-4.5": "glm45"}

@@ -105,6 +105,12 @@ def with_outcomes(runs: DataFrame, evals: DataFrame) -> DataFrame:
     return runs.join(own, ["model", "instance_id"], "left").join(everywhere, "instance_id", "left").withColumn("resolved", F.coalesce("_own", "_all")).drop("_own", "_all")
 
 
+def with_resolution(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``runs(model, instance_id)`` with the outcome of an outcome table, false without one; of several outcomes one won is enough."""
+    one = outcomes.groupBy("model", "instance_id").agg(F.bool_or("resolved").alias("_won"))
+    return runs.join(one, ["model", "instance_id"], "left").withColumn("resolved", F.coalesce("_won", F.lit(False))).drop("_won")
+
+
 def unseen(files: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """Files (rows with the hidden file metadata) that are new or changed against a ledger of path, size and time."""
     now = files.select("*", F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("version"))

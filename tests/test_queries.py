@@ -15,6 +15,7 @@ ORACLES = {**run_queries.ORACLES, **session_queries.ORACLES}
 CHECKED = [
     "category_frequencies", "sequence_labels", "structural_markers", "phase_heatmap", "bigram_matrix", "run_stats", "paired_ratios", "work_done_paired", "user_message_stats", "toolcall_intent",
     "toolcall_results", "issue_resolution", "resolution_schemes", "peer_landscape", "session_success",
+    "steps", "runs_resolved", "runs_eval", "repo_of_instance", "session_completion", "session_names", "user_message_class", "intent_comparison_4way",
 ]
 
 
