@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, packing, quality_rules, resampling, substring_dedup
+from . import chat_format, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, packing, quality_rules, resampling, substring_dedup, target_draw
 from .common import table
 
 QUERIES: dict = {}
@@ -153,3 +153,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_corpus(table(spark, sf_dir, "documents"), order=3)
+
+
+@query
+def op11_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_draw.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -43,12 +43,13 @@ class Words:
     """The words of consecutive texts.
 
     ``data`` holds the bytes, ``offsets`` the bounds of the texts, ``starts`` and ``ends`` those of the words,
-    ``first`` the index of the first word of each text (one more entry than texts).
+    ``first`` the index of the first word of each text (one more entry than texts). ``gaps`` says which bytes are no
+    part of a word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = IS_SPACE):
         self.data, self.offsets = (AS_LOWER[data] if lower else data), offsets
-        space = IS_SPACE[data]
+        space = gaps[self.data]
         before = np.empty(len(data), bool)
         if len(data):
             before[0], before[1:] = True, space[:-1]

@@ -126,3 +126,26 @@ def kneser_ney(rows):
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         made[i] = (out_of(i), len(w), sum(count[x] > 0 for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)))
     return made, p, count
+
+
+def draw(rows, target, percent=5, min_words=20, buckets=10000):
+    """op11 in plain Python: {doc_id: (n_features, weight, score, rank)}."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def grams(text):
+        w = word.findall((text or "").translate(LOWER))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    of = {i: grams(t) for i, t in rows}
+    s = collections.Counter(b for _, g in of.values() for b in g)
+    t = collections.Counter(b for x in target for b in grams(x)[1])
+    s_all, t_all = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = [math.floor(1000 * math.log((t[b] + 1) * s_all / ((s[b] + 1) * t_all))) for b in range(buckets)]
+    out = {}
+    for i, (_, g) in of.items():
+        h = int(hashlib.sha256(f"42:{i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in g)
+        out[i] = (len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    able = sorted((i for i in of if of[i][0] >= min_words), key=lambda i: (-out[i][2], i))
+    rank = {i: k + 1 for k, i in enumerate(able[: len(able) * percent // 100])}
+    return {i: (*v, rank.get(i)) for i, v in out.items()}
