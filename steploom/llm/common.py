@@ -94,10 +94,10 @@ def conf(spark: SparkSession, names: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """Write ``df`` and let Spark drop the shuffle files of that job as soon as it ends."""
     with conf(df.sparkSession, {SHUFFLE_CLEANUP: "true"}):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -119,11 +119,13 @@ class Scratch:
     def __exit__(self, *_) -> None:
         drop_path(self.spark, self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; with ``by``, as one table for each value of that column, all read together."""
         self.count += 1
         path = f"{self.path}/{self.count}-{name}"
-        write_table(df, path)
-        return self.spark.read.parquet(path)
+        write_table(df, path, by)
+        schema = df.schema if by else None
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more, ahead of the others."""
@@ -131,6 +133,27 @@ class Scratch:
             drop_path(self.spark, folder)
 
 
+#: Keys that hold more than one row in this many are joined by broadcast; there are fewer of them than this.
+COMMON = 10_000
+
+
+def common_rows(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``groups(key, n, ...)``, one row for each key that n of the ``total`` rows have; the key is
+    text or bytes.
+
+    A key with more than one row in ``COMMON`` would fill a task of the shuffle; fewer than ``COMMON`` keys can have as many,
+    so those meet their rows by broadcast. In the second join such rows have a key of their own each, that nothing matches.
+    """
+    names = [c for c in groups.columns if c != key]
+    hot = F.col("n") > total // COMMON
+    few = F.broadcast(groups.where(hot).select(key, F.struct(*names).alias("_few")))
+    many = groups.where(~hot).select(F.col(key).alias("_key"), F.struct(*names).alias("_many"))
+    met = rows.join(few, key, "left").withColumn("_at", F.md5(F.monotonically_increasing_id().cast("string")))
+    own = F.when(F.col("_few").isNull(), F.col(key)).otherwise(F.concat(F.col(key), F.lit("/").cast(rows.schema[key].dataType), F.col("_at").cast(rows.schema[key].dataType)))
+    met = met.withColumn("_own", own).join(many, F.col("_own") == F.col("_key"), "left").withColumn("_group", F.coalesce("_few", "_many"))
+    return met.select(*rows.columns, *[F.col("_group")[c].alias(c) for c in names])
+
+
 def components(nodes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     """(node, comp) for ``nodes(node)`` under undirected ``links(a, b)``; comp is one node of the component.
 

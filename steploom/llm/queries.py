@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, license_scan, mixing, ngram_lm, packing, quality_rules, resampling, substring_dedup, target_draw
+from . import chat_format, exact_dedup, filter_audit, jaccard_join, license_scan, mixing, ngram_lm, packing, quality_rules, resampling, substring_dedup, target_draw, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,60 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_draw.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+with base as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+flags as (
+  select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+         100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) as c,
+         regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e,
+         doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic
+  from base),
+masks as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as mask, count(*) as n,
+         count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+  from flags group by all),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select u.letter || v.letter || w.letter || x.letter || y.letter as filter_order, [u.bit, v.bit, w.bit, x.bit, y.bit] as bits
+  from letters u, letters v, letters w, letters x, letters y where u.bit + v.bit + w.bit + x.bit + y.bit = 31
+    and len(list_distinct([u.bit, v.bit, w.bit, x.bit, y.bit])) = 5),
+steps as (
+  select filter_order, step, bits[step] as own, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) as earlier
+  from orders, (select unnest(range(1, 6)) as step)),
+found as (
+  select part, filter_order, step, own,
+         cast(sum(n) filter (mask & (own | earlier) = 0) as bigint) as kept,
+         cast(sum(n) filter (mask & own <> 0 and mask & earlier = 0) as bigint) as removed,
+         cast(sum(n) filter (mask & own <> 0 and mask & earlier <> 0) as bigint) as redundant,
+         cast(sum(n) filter (mask = own) as bigint) as unique_fails,
+         cast(sum(n_good) filter (mask & own <> 0 and mask & earlier = 0) as bigint) as good_lost,
+         cast(sum(n_toxic) filter (mask & own <> 0 and mask & earlier = 0) as bigint) as toxic_lost
+  from masks, steps group by all)
+select part, filter_order, cast(step as int) as step, coalesce(kept, 0) as kept, coalesce(removed, 0) as removed, coalesce(redundant, 0) as redundant,
+       coalesce(unique_fails, 0) as unique_fails, coalesce(good_lost, 0) as good_lost, coalesce(toxic_lost, 0) as toxic_lost,
+       cast(sum(coalesce(removed, 0)) over (partition by part, own) as bigint) as shapley
+from found
+"""
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("intact")
+
+
+ORACLES["op13_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+k as (select *, octet_length(payload) as size, case when octet_length(payload) >= 1000 then max(page_id) over (partition by payload) end as keeper from p)
+select page_id, cast(size as bigint) as payload_bytes, sha1(payload) as payload_digest,
+       case when keeper > page_id then 'revisit' else 'response' end as record_type, case when keeper > page_id then keeper end as refers_to
+from k
+"""

@@ -149,3 +149,40 @@ def draw(rows, target, percent=5, min_words=20, buckets=10000):
     able = sorted((i for i in of if of[i][0] >= min_words), key=lambda i: (-out[i][2], i))
     rank = {i: k + 1 for k, i in enumerate(able[: len(able) * percent // 100])}
     return {i: (*v, rank.get(i)) for i, v in out.items()}
+
+
+def audit(rows, labels):
+    """op12 in plain Python over (doc_id, text, source) and (doc_id, quality, toxic)."""
+    import itertools
+
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}
+    fails = []
+    for i, t, s in rows:
+        t = t or ""
+        w = words(t)
+        tests = {
+            "A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 2 * len(t),
+            "D": any(c in "#$%&*|" for c in t), "E": i is not None and first[t] < i,
+        }
+        fails.append((i, s or "", {k for k, v in tests.items() if v}))
+    out = {}
+    for part in {p for _, p, _ in fails}:
+        mine = [(i, f) for i, p, f in fails if p == part]
+        shapley = collections.Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for k, f in enumerate(order):
+                gone = [x for x in left if f in x[1]]
+                left = [x for x in left if f not in x[1]]
+                shapley[f] += len(gone)
+                out[part, "".join(order), k + 1] = [
+                    len(left), len(gone), sum(f in x[1] for x in mine) - len(gone), sum(x[1] == {f} for x in mine), sum(x[0] in good for x in gone), sum(x[0] in toxic for x in gone), f,
+                ]
+        for (p, *_), v in out.items():
+            if p == part:
+                v[-1] = shapley[v[-1]]
+    return {k: tuple(v) for k, v in out.items()}
