@@ -94,10 +94,11 @@ def conf(spark: SparkSession, names: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, by: str | None = None, codec: str = "snappy") -> None:
     """Write ``df`` and let Spark drop the shuffle files of that job as soon as it ends."""
     with conf(df.sparkSession, {SHUFFLE_CLEANUP: "true"}):
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -119,11 +120,11 @@ class Scratch:
     def __exit__(self, *_) -> None:
         drop_path(self.spark, self.path)
 
-    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> DataFrame:
         """``df`` written and read again; with ``by``, as one table for each value of that column, all read together."""
         self.count += 1
         path = f"{self.path}/{self.count}-{name}"
-        write_table(df, path, by)
+        write_table(df, path, by, codec)
         schema = df.schema if by else None
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
 

@@ -126,7 +126,7 @@ def records(spark: SparkSession, path: str, work: Scratch) -> DataFrame:
     a record without a length, or longer than its file, and what follows it in the file are left out. An empty file or
     folder has no records. The tables of this call belong to ``work``.
     """
-    pieces = work.table(splits.pieces(spark, path, SEPARATOR), "pieces")
+    pieces = work.table(splits.pieces(spark, path, SEPARATOR), "pieces", codec="zstd")
     known = work.table(_reached(_candidates(pieces), work), "known")
     # Most records are one piece. Others: a file's first, and contents with separators, put together from their pieces.
     owned = splits.last_before(known, F.when(F.col("hit"), F.col("offset")), "owner").where("owner is not null")
