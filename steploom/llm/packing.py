@@ -146,46 +146,47 @@ def largest_first(left: np.ndarray, sizes: np.ndarray, room: int) -> list[tuple[
     return out
 
 
-def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-4, max_columns: int = 4000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, room: int, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly ``demand`` pieces of each class.
 
-    The linear program (cover the demand with the fewest sequences) starts from one-class patterns. Columns come from
-    patterns filled largest first while one of them has a good price, then from a knapsack dynamic program, until the
-    best price is within ``gap``. The basis inverse is updated by pivots. The solution is rounded down; what is left
-    goes largest first into sequences of its own.
+    The linear program (cover the demand with the fewest sequences) starts from one-class patterns. Every column is the
+    best one at the current prices, by a knapsack dynamic program. No solution uses fewer sequences than the demand at these
+    prices over the best pattern's value, so the loop ends when the solution is within ``gap`` of the highest such bound.
+    The demand is raised by tiny amounts of its own for each class: then every pivot lowers the total, so none comes back; where
+    rounding hides that over many pivots in a row, the prices are as good as doubles can give, and the loop ends too.
+    The solution is rounded down; what is left goes largest first into sequences of its own.
     """
     classes = np.flatnonzero(demand)
     m = len(classes)
     if not m:
         return []
     sizes, need = classes + 1, demand[classes].astype(float)
+    raised = need * (1 + gap / 100 * np.random.default_rng(1).random(m)) + 1e-6
     basis = [np.eye(m, dtype=np.int64)[i] * int(room // sizes[i]) for i in range(m)]
     inverse = np.diag(1.0 / np.array([room // s for s in sizes]))
-    amount = inverse @ need
-    pool = np.array([p for p, _ in largest_first(demand[classes].astype(np.int64), sizes, room)])
-    for _ in range(max_columns):
+    amount, bound = inverse @ raised, 0.0
+    lowest, still = float(amount.sum()), 0
+    while still < 4 * m:
         prices = np.maximum(inverse.sum(0), 0)
         full = np.zeros(int(sizes[-1]))
         full[sizes - 1] = prices
-        known = pool @ prices
-        if known.max() > 1 + gap:
-            column = pool[int(known.argmax())]
-        else:
-            value, wide = price_pattern(full, room)
-            if value <= 1 + gap:
-                break
-            column = wide[sizes - 1]
-        direction = inverse @ column
-        ratios = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(ratios.argmin())
-        if not np.isfinite(ratios[out]):
+        value, wide = price_pattern(full, room)
+        bound = max(bound, float(prices @ raised) / max(value, 1.0))
+        if value <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
             break
+        direction = inverse @ wide[sizes - 1]
+        up = direction > 1e-9
+        ratios = np.where(up, amount / np.where(up, direction, 1), np.inf)
+        out = int(ratios.argmin())
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
         amount = np.maximum(amount - direction * ratios[out], 0)
         amount[out] = ratios[out]
-        basis[out] = column
+        basis[out] = wide[sizes - 1]
+        still = 0 if amount.sum() < lowest * (1 - 1e-12) else still + 1
+        lowest = min(lowest, float(amount.sum()))
+    amount = np.maximum(inverse @ need, 0)
     used: dict[bytes, list] = {}
     left = demand[classes].astype(np.int64)
     for pattern, x in zip(basis, np.floor(amount + 1e-6).astype(np.int64), strict=True):
