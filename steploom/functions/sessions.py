@@ -42,8 +42,12 @@ def meaningful_command(command: Column) -> Column:
     return F.when(F.size(kept) == 0, strip(bare)).when(led, strip(F.array_join(F.slice(kept, 2, 2**20), "\n"))).otherwise(strip(F.array_join(kept, "\n")))
 
 
-def with_tool_intent(calls: DataFrame, out: str = "intent") -> DataFrame:
-    """Intent of calls(name, path, command, pattern, has_range, old_text, is_error, result); nulls count as empty."""
+def with_tool_intent(calls: DataFrame, out: str = "intent", action: str | None = None) -> DataFrame:
+    """Intent of calls(name, path, command, pattern, has_range, old_text, is_error, result); nulls count as empty.
+
+    ``action`` names a column for the shell command that a call stands for, if it does.
+    """
+    shell_action = action
     name, path, result, bad = text(F.col("name")), text(F.col("path")), text(F.col("result")), F.coalesce("is_error", F.lit(False))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     shell = (
@@ -123,7 +127,7 @@ def with_tool_intent(calls: DataFrame, out: str = "intent") -> DataFrame:
             ],
             "bash-other",
         )),
-    ).drop("_action", "_shell", "_seen", "_base", "_top", "_name")
+    ).withColumn(shell_action or "_none", F.col("_action")).drop("_action", "_shell", "_seen", "_base", "_top", "_name", "_none")
 
 
 #: What user messages of each class say.

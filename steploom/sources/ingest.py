@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import splits
+
 _CALL = "struct<function:struct<arguments:string>>"
 TRAJECTORY = (
     "environment string, trajectory array<struct<action:string,observation:string,response:string,thought:string,execution_time:double>>, "
@@ -62,21 +64,33 @@ def run_config(files: DataFrame) -> DataFrame:
     return files.select("model", "instance_id", c["name"].alias("model_name"), c["temperature"].alias("temperature"), c["per_instance_call_limit"].alias("call_limit"), c["total_cost_limit"].alias("cost_limit"), c["completion_kwargs"].alias("options"))
 
 
-def transcripts(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
-    """One row per line of ``*.jsonl`` in file order; blank lines are skipped, broken ones too, or fail if ``strict``."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    mode = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
-    schema = EVENT.rsplit(",", 1)[0] if strict else EVENT
-    events = lines.select("path", "line_no", F.from_json("line", schema, mode).alias("e")).select("path", "line_no", "e.*")
-    return events if strict else events.where("bad is null").drop("bad")
+def transcript_lines(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(path, line_no, line): the lines of all files that aren't blank, numbered from 0 with the blank ones counted.
+
+    Files are read in blocks by many tasks, so no file has to fit in a row; the number of a line is the lines of the blocks
+    before and those before it in its own.
+    """
+    pieces = splits.pieces(spark, root, "\n", pattern).drop("file_size")
+    numbered = splits.sum_before(pieces, F.lit(1), "line_no")
+    return numbered.where(F.col("value").rlike(r"\S")).select("path", F.col("line_no").cast("int").alias("line_no"), F.rtrim("value", F.lit("\r")).alias("line"))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    return lines.select("path", "line_no", "line", F.from_json("line", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}).alias("e"))
+
+
+def transcripts(spark: SparkSession, root: str | list[str], strict: bool = False, pattern: str = "*.jsonl") -> DataFrame:
+    """One row per line of ``*.jsonl`` in file order; blank lines are skipped, broken ones too, or fail if ``strict``, with
+    the path and the number (from 1) of the line."""
+    events = _parsed(transcript_lines(spark, root, pattern))
+    if strict:
+        where = F.concat(F.lit("broken line "), F.col("path"), F.lit(":"), (F.col("line_no") + 1).cast("string"))
+        events = events.withColumn("line_no", F.when(F.col("e.bad").isNotNull(), F.raise_error(where).cast("int")).otherwise(F.col("line_no")))
+    return events.where("e.bad is null" if not strict else "line_no is not null").select("path", "line_no", "e.*").drop("bad")
 
 
-def bad_line_counts(spark: SparkSession, root: str) -> DataFrame:
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("path"), F.explode(F.split("value", "\r?\n")).alias("line")).where(F.trim("line") != "")
-    bad = F.from_json("line", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})["bad"].isNotNull()
-    return lines.groupBy("path").agg(F.count(F.when(bad, 1)).alias("bad_lines"))
+def bad_line_counts(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    return _parsed(transcript_lines(spark, root, pattern)).groupBy("path").agg(F.count("e.bad").alias("bad_lines"))
 
 
 def flatten_content(content: Column, diff: Column) -> Column:
