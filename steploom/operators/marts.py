@@ -228,3 +228,23 @@ def taxonomy_counts(steps: DataFrame, taxonomy: DataFrame) -> DataFrame:
     counts = steps.groupBy("intent", "model").agg(F.count("*").alias("n"))
     models = counts.select("model").distinct()
     return taxonomy.crossJoin(F.broadcast(models)).join(counts, ["intent", "model"], "left").select("category", "intent", "model", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def ecdf_points(per_run: DataFrame, cap: int = 250, width: int = 5) -> DataFrame:
+    """(model, bin, n, x, y): bins of steps with the share of a model's runs up to them, drawn at ``cap`` at most."""
+    bins = per_run.groupBy("model", (F.floor(F.col("steps") / width) * width).alias("bin")).agg(F.count("*").alias("n"))
+    model = Window.partitionBy("model")
+    y = F.sum("n").over(model.orderBy("bin")) / F.sum("n").over(model)
+    return bins.select("model", "bin", "n", F.least("bin", F.lit(cap)).alias("x"), y.alias("y"))
+
+
+def ecdf_summary(per_run: DataFrame, cap: int = 250, width: int = 5) -> DataFrame:
+    """(model, total, censored, median): the share of runs from ``cap`` on, and the median on the straight line from the last
+    point below one half, or from the origin, to the first that isn't."""
+    points = ecdf_points(per_run, cap, width)
+    order = Window.partitionBy("model").orderBy("bin")
+    x0, y0 = F.coalesce(F.lag("x").over(order), F.lit(0)), F.coalesce(F.lag("y").over(order), F.lit(0.0))
+    at = points.select("*", (x0 + (0.5 - y0) * (F.col("x") - x0) / (F.col("y") - y0)).alias("cross"))
+    reached = F.when(F.col("y") >= 0.5, F.col("bin"))
+    early = F.sum(F.when(F.col("bin") < cap, F.col("n")).otherwise(0))
+    return at.groupBy("model").agg(F.sum("n").alias("total"), (1 - early / F.sum("n")).alias("censored"), F.min_by("cross", reached).alias("median"))

@@ -90,3 +90,25 @@ def head_to_head(joined: DataFrame) -> DataFrame:
         F.try_divide(F.sum(f"{s}.cost"), F.sum(f"{s}.patch_chars").cast("double")).alias(f"cost_per_char_{s}"),
     ]
     return p.agg(F.count("*").alias("n"), F.avg(F.col("b.cost") - F.col("a.cost")).alias("mean_cost_delta"), count_if(F.col("b.cost") > F.col("a.cost")).alias("b_dearer"), *side("a"), *side("b"))
+
+
+def by_repo(joined: DataFrame) -> DataFrame:
+    """Per repository: submitted pairs, how many each model resolved, and by whom they were."""
+    p = submitted(joined)
+    who = resolved_by(p)
+    won = lambda *kinds: count_if(F.col("who").isin(*kinds))
+    return p.select(F.col("a.repo").alias("repo"), who.alias("who")).groupBy("repo").agg(
+        F.count("*").alias("n"), won("both", "a_only").alias("resolved_a"), won("both", "b_only").alias("resolved_b"), *[won(k).alias(k) for k in ("both", "a_only", "b_only", "neither")]
+    )
+
+
+#: Sections of the paired report and their metrics.
+SECTIONS = {"spending": ["cost", "api_calls"], "tokens": ["tokens_sent", "tokens_received"], "work": ["steps", "tool_time", "patch_chars"]}
+
+
+def sectioned_report(joined: DataFrame) -> DataFrame:
+    """(section, metric, mean_a, median_a, total_a, the same of b, ratio) over submitted pairs; no ratio where b's mean is 0.5 or less."""
+    section = F.create_map(*[F.lit(x) for s, names in SECTIONS.items() for m in names for x in (m, s)])
+    both_sides = [f(c).alias(f"{name}_{side}") for c, side in (("x", "a"), ("y", "b")) for name, f in (("mean", F.avg), ("median", F.median), ("total", F.sum))]
+    out = long_form(submitted(joined)).groupBy("metric").agg(*both_sides)
+    return out.select(section[F.col("metric")].alias("section"), *out.columns, F.when(F.col("mean_b") > 0.5, F.col("mean_a") / F.col("mean_b")).alias("ratio"))

@@ -95,3 +95,36 @@ def run_lengths(steps: DataFrame, symbol: str = "letter") -> DataFrame:
     change = F.coalesce((F.lag(symbol).over(run) != F.col(symbol)).cast("int"), F.lit(0))
     marked = steps.withColumn("_change", change).withColumn("island", F.sum("_change").over(run))
     return marked.groupBy("run_id", "island").agg(F.first(symbol).alias("symbol"), F.min("step_idx").alias("first_step"), F.count("*").alias("length"))
+
+
+#: Fixed value: the symbols of base intents, in the order that they are given out.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def symbols(steps: DataFrame) -> DataFrame:
+    """(intent, symbol): the intents that occur, in order, with a symbol each; an error if there are more than symbols."""
+    found = steps.select("intent").distinct()
+    n = found.count()
+    if n > len(ALPHABET):
+        raise ValueError(f"{n} intents for {len(ALPHABET)} symbols")
+    place = F.row_number().over(Window.orderBy("intent"))  # as many rows as symbols at most
+    return found.select("intent", F.substring(F.lit(ALPHABET), place, F.lit(1)).alias("symbol"))
+
+
+def intent_strings(steps: DataFrame) -> DataFrame:
+    """(run_id, model, sequence): one symbol of ``symbols`` per step."""
+    return run_strings(steps.join(F.broadcast(symbols(steps)), "intent"), "symbol")
+
+
+def find_runs(strings: DataFrame, contains: str = "", models: list[str] | None = None, repos: list[str] | None = None, tasks: list[str] | None = None, submitted_only: bool = False, sort: str = "name") -> DataFrame:
+    """Runs of ``strings(run_id, model, repo, task, submitted, steps, sequence)`` that meet all conditions, and their ``place``.
+
+    ``contains`` is looked for in any case. ``sort`` is ``steps_desc``, ``steps_asc`` or ``name`` (repository, task, model);
+    equal ones go by run.
+    """
+    out = strings.where(F.contains(F.upper("sequence"), F.upper(F.lit(contains.strip()))))
+    for column, values in (("model", models), ("repo", repos), ("task", tasks)):
+        out = out.where(F.col(column).isin(*values)) if values else out
+    out = out.where("submitted") if submitted_only else out
+    by = {"steps_desc": [F.desc("steps")], "steps_asc": [F.asc("steps")], "name": [F.asc("repo"), F.asc("task"), F.asc("model")]}[sort]
+    return out.orderBy(*by, "run_id")

@@ -69,11 +69,21 @@ def transcript_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def write_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """A folder for each session with one file, a line an event."""
-    rows = transcript_rows(spark, sf_dir)
+def write_lines(rows: DataFrame, path: str, overwrite: DataFrame | None = None) -> None:
+    """``rows(session, at, line)`` as a folder for each session with one file, a line an event; the folders of the sessions in
+    ``overwrite`` go first."""
+    spark = rows.sparkSession
+    if overwrite is not None:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for row in overwrite.toLocalIterator():
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/session={row['session']}"), True)
     whole = rows.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    whole.write.partitionBy("session").text(path)
+    whole.write.mode("append").partitionBy("session").text(path)
+
+
+def write_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
+    write_lines(transcript_rows(spark, sf_dir), path)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
