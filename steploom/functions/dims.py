@@ -47,6 +47,48 @@ READ_STEPS = ["read-file-full", "read-file-range", "read-file-full(truncated)",
 SEARCH_STEPS = ["search-keyword", "search-files-by-name", "search-files-by-content", "search-keyword(failed)"]
 #: Names of configuration files.
 CONFIG_FILES = ["package.json", "pytest.ini", "setup.cfg", "setup.py", "go.mod", "makefile", "config.json"]
+#: Patterns that tell what inline code does, in any case of letters.
+SNIPPET_WRITES = [r"write_text", r"\.write\(", r"open\(.+['\"]w['\"]", r"writefilesync", r"writefile\s*\("]
+SNIPPET_READS = [r"read_text", r"\.read\(", r"open\(.+['\"]r['\"]", r"readfilesync", r"readfile\s*\("]
+SNIPPET_CHANGES = [r"\.replace\(", r"re\.sub\("]
+SNIPPET_ASSERTS = [r"\bassert\s", r"\bassert\(", r"assertequal", r"asserttrue", r"\.tobe\(", r"\.toequal\(", r"\bexpect\("]
+SNIPPET_PRINTS = [r"print\(", r"console\.log"]
+SNIPPET_VERSIONS = [r"--version\b", r"-v\b", r"sys\.version", r"node\s+-v", r"npm\s+-v"]
+#: Import lines of inline code; the first at the beginning of a line and as it is written.
+SNIPPET_IMPORT_LINE, SNIPPET_REQUIRE = r"^(?:from|import)\s+\S+", r"require\s*\("
+#: Patterns of test summaries and of failed builds.
+SUMMARY_COUNT = r"\d+\s+(?:passed|failed|error)"
+BUILD_ERRORS = [r"(?:syntax|compile|build)\s+error", r"cannot\s+find", r"undefined:", r"cannot\s+use", r"undeclared\s+name", r"expected\s+"]
+CRASH_MARKS = [r"throw\s+\w+", r"Error:.*\n\s+at\s+"]
+RED_TESTS = [r"(?i)=+\s+\d+\s+(?:failed|error)", r"\d+\s+failing", r"(?md)^FAIL\s+\S+"]
+COLLECTION_ERRORS = [r"errors? during collection", r"collection error"]
+#: What may stand before a command: assignments, env, timeout and set.
+COMMAND_WRAPPERS = [r"(?:[A-Za-z_][A-Za-z0-9_]*=\S+\s+)+", r"env\s+", r"timeout\s+\S+\s+", r"set\s+-[A-Za-z]+(?:\s+-[A-Za-z]+)*\s*;\s*", r"set\s+-o\s+\S+\s*;\s*"]
+#: Marks in observations by the failure mode that they stand for; the ladder that asks for them is in ``outcomes``.
+MODE_MARKS = {
+    "apply_patch_cmd_not_found": ["applypatch: command not found", "applypatch:command not found"],
+    "apply_patch_other": ["no such file", "is a directory", "invalid patch", "patch failed", "could not find", "context does not match"],
+    "strep_no_match": ["did not appear verbatim", "no replacement was performed", "no match", "did not match"],
+    "strep_multiple_matches": ["multiple occurrences", "multiple matches", "matches the string to replace"],
+    "strep_create_exists": ["file already exists"],
+    "strep_invalid_range": ["invalid `view_range`", "invalid view_range"],
+    "bash_history_expansion": ["event not found"],
+    "bash_heredoc_unterminated": ["warning: here-document", "unexpected end of file"],
+    "bash_syntax_error": ["syntax error near unexpected token"],
+    "bash_command_not_found": ["command not found"],
+    "py_module_not_found": ["modulenotfounderror", "no module named"],
+}
+#: Failure modes that come of a command's wrapping.
+WRAPPER_MODES = [
+    "apply_patch_cmd_not_found", "apply_patch_shell_syntax", "apply_patch_other", "bash_trailing_brace", "bash_quote_nesting",
+    "bash_heredoc_unterminated", "bash_syntax_error", "bash_broken_pipe",
+]
+#: Sequence labels that are shown per run, and what inline code is for.
+KEY_SEQUENCES = ["seq-verify-after-edit", "seq-edit-after-failed-verify", "seq-verify-rerun-no-edit", "seq-submit-after-verify"]
+INLINE_INTENTS = ["run-inline-verify", "read-via-inline-script", "edit-via-inline-script", "create-file-via-inline-script", "check-version", "run-inline-snippet"]
+#: Bands of letters, with and without git in a band of its own.
+BANDS = {"understand": ["R", "S"], "reproduce": ["P"], "edit": ["E"], "verify": ["V"], "cleanup": ["G", "H"]}
+SESSION_BANDS = {"understand": ["R", "S"], "reproduce": ["P"], "edit": ["E"], "verify": ["V"], "git": ["G"], "housekeeping": ["H"]}
 #: Classes of user messages.
 MESSAGE_CLASSES = ["task_brief", "authorize_work", "solution_steer", "evidence_or_repro", "qa_or_critique", "validation_request", "workflow_closeout"]
 

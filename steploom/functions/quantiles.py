@@ -11,13 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_statistics(rows: DataFrame, keys: list[str], value: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """keys, n and for each pick the value at an index (from 0) that is a function of n. Nulls are left out."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
-    running = Window.partitionBy(*keys).orderBy(value)
-    spread = counted.withColumn("_up", F.sum("_k").over(running)).withColumn("n", F.sum("_k").over(Window.partitionBy(*keys)))
-    at = [F.min(F.when(F.col("_up") > pick(F.col("n")), F.col(value))).alias(name) for name, pick in picks.items()]
-    return spread.groupBy(*keys).agg(F.first("n").alias("n"), *at)
+def order_statistics(rows: DataFrame, keys: list[str], value: str, picks: dict[str, Callable[[Column], Column]], within: dict[str, tuple[Column, list[str]]] | None = None) -> DataFrame:
+    """keys, n and for each pick the value at an index (from 0) that is a function of n. Nulls are left out.
+
+    ``within`` gives conditions, each with picks that count only the rows where it holds (null without such a row), so that
+    statistics of parts of a group come from the same pass.
+    """
+    parts = {"": (F.lit(True), [p for p in picks if not any(p in names for _, names in (within or {}).values())]), **(within or {})}
+    held = [F.count(F.when(condition, 1)).alias(f"_k{part}") for part, (condition, _) in parts.items()]
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*held)
+    running, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
+    spread = counted.select(*keys, value, *[F.sum(f"_k{p}").over(running).alias(f"_up{p}") for p in parts], *[F.sum(f"_k{p}").over(whole).alias(f"_n{p}") for p in parts])
+    at = []
+    for part, (_, names) in parts.items():
+        up, n = F.col(f"_up{part}"), F.col(f"_n{part}")
+        at += [F.min(F.when((n > 0) & (up > picks[name](n)), F.col(value))).alias(name) for name in names]
+    return spread.groupBy(*keys).agg(F.first("_n").alias("n"), *at)
 
 
 def middle(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
@@ -37,6 +46,16 @@ def nearest_quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame
     return out.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("median"), "p25", "p75")
 
 
+def quartiles_and_medians(rows: DataFrame, keys: list[str], value: str, within: dict[str, Column]) -> DataFrame:
+    """``nearest_quartiles`` with the median of the rows that meet each condition of ``within``, in one pass."""
+    low, high = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.floor(n / 2))
+    picks = {"_a": low, "_b": high, "p25": lambda n: F.floor(n / 4), "p75": lambda n: F.floor(n * 3 / 4)}
+    picks |= {f"{side}{name}": f for name in within for side, f in (("_a_", low), ("_b_", high))}
+    out = order_statistics(rows, keys, value, picks, {name: (condition, [f"_a_{name}", f"_b_{name}"]) for name, condition in within.items()})
+    mean = lambda end: (F.col(f"_a{end}") + F.col(f"_b{end}")) / 2
+    return out.select(*keys, "n", mean("").alias("median"), "p25", "p75", *[mean(f"_{name}").alias(name) for name in within])
+
+
 def exclusive_quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, median, p25, p75 by the exclusive method; the single value where there is one."""
     j = lambda n, q: F.greatest(F.lit(1), F.least(F.floor(q * (n + 1) / 4), n - 1))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.quantiles import middle, nearest_quartiles, order_statistics
+from ..functions.quantiles import middle, nearest_quartiles, quartiles_and_medians
 from .sequences import BINS, MARKERS, progress_bin
 
 
@@ -65,14 +65,20 @@ def edit_verify_cycles(sequenced: DataFrame) -> DataFrame:
     return middle(per_run, ["model"], "cycles").drop("n").join(mean, "model")
 
 
+def labels_per_run(sequenced: DataFrame, labels: list[str]) -> DataFrame:
+    """(model, seq, n, per_run): how often each label occurs, and on average over all runs of the model, zeros kept."""
+    runs = sequenced.groupBy("model", "run_id").agg(*[count_if(F.col("seq") == x).alias(x) for x in labels])
+    cells = F.array(*[F.struct(F.lit(x).alias("seq"), F.col(x).alias("n")) for x in labels])
+    long = runs.select("model", F.explode(cells).alias("c"))
+    return long.groupBy("model", F.col("c.seq").alias("seq")).agg(F.sum("c.n").alias("n"), F.avg("c.n").alias("per_run"))
+
+
 def structural_markers(positions: DataFrame, runs: DataFrame) -> DataFrame:
     """Quartiles of each marker per model, and its medians by outcome; a missing outcome counts as unresolved."""
     long = positions.join(runs.select("run_id", F.coalesce("resolved", F.lit(False)).alias("won")), "run_id").select(
         "model", "won", F.explode(F.create_map(*[x for m in MARKERS for x in (F.lit(m), F.col(m))])).alias("marker", "at")
     )
-    keys = ["marker", "model"]
-    won, lost = middle(long.where("won"), keys, "at", "resolved_median").drop("n"), middle(long.where("not won"), keys, "at", "unresolved_median").drop("n")
-    return nearest_quartiles(long, keys, "at").join(won, keys, "left").join(lost, keys, "left")
+    return quartiles_and_medians(long, ["marker", "model"], "at", {"resolved_median": F.col("won"), "unresolved_median": ~F.col("won")})
 
 
 def per_repo(steps: DataFrame, runs: DataFrame, top: int = 12, least: int = 3) -> DataFrame:
@@ -117,6 +123,16 @@ def phase_heatmap(profile: DataFrame) -> DataFrame:
     return part.select("model", "bin", "letter", F.try_divide(F.col("mean_share"), total).alias("share"))
 
 
+def phase_bands(profile: DataFrame, bands: dict[str, list[str]], without: tuple[str, ...] = ()) -> DataFrame:
+    """(model, bin, band, share): letters of the profile summed into bands; the bands that are left make up 1 in each column.
+
+    The share is null in a column where all of them are 0.
+    """
+    of = F.create_map(*[F.lit(x) for band, letters in bands.items() if band not in without for x in [y for k in letters for y in (k, band)]])
+    part = profile.withColumn("band", of[F.col("letter")]).where("band is not null").groupBy("model", "bin", "band").agg(F.sum("mean_share").alias("s"))
+    return part.select("model", "bin", "band", F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy("model", "bin"))).alias("share"))
+
+
 def bigram_matrix(pairs: DataFrame) -> DataFrame:
     """All 9 x 9 cells per model, as shares of all bigrams of the model."""
     letters = F.array(*map(F.lit, dims.LETTERS.values()))
@@ -140,6 +156,31 @@ def work_done(sequenced: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.join(done, "run_id").groupBy("model", "work_done", F.coalesce("resolved", F.lit(False)).alias("resolved")).agg(F.count("*").alias("n"))
 
 
+def post_edit_tail(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per model, over the runs with a source edit: quartiles of where the last one is, in per cent of the run's steps, and
+    how large a part of all their steps comes after it."""
+    edit = F.col("intent").isin(dims.SOURCE_EDIT_STEPS)
+    last = steps.join(runs.select("run_id"), "run_id", "left_semi").groupBy("run_id", "model").agg(F.max(F.when(edit, F.col("step_idx"))).alias("last"), F.count("*").alias("n")).where("last is not null")
+    at = last.select("model", "n", (F.col("n") - 1 - F.col("last")).alias("after"), (F.col("last") * 100.0 / F.greatest(F.col("n") - 1, F.lit(1))).alias("at"))
+    tail = at.groupBy("model").agg((F.sum("after") / F.sum("n")).alias("tail_share"))
+    return nearest_quartiles(at, ["model"], "at").join(tail, "model")
+
+
+def intents_among(steps: DataFrame, intents: list[str]) -> DataFrame:
+    """(model, intent, n, share) of the given intents among themselves, also over all models (null), zeros kept."""
+    counts = steps.where(F.col("intent").isin(intents)).groupingSets([["model", "intent"], ["intent"]], "model", "intent").agg(F.count("*").alias("n"))
+    grid = counts.select("model").distinct().select("model", F.explode(F.array(*map(F.lit, intents))).alias("intent"))
+    both = grid.alias("g").join(counts.alias("c"), F.col("g.model").eqNullSafe(F.col("c.model")) & (F.col("g.intent") == F.col("c.intent")), "left")
+    return both.select("g.model", "g.intent", F.coalesce("c.n", F.lit(0)).alias("n")).withColumn("share", share("n", "model"))
+
+
+def classification_table(steps: DataFrame) -> DataFrame:
+    """(category, intent, model, n, pct): counts with subtotals of each category and the whole (nulls), per cent of the model's steps."""
+    counts = steps.groupingSets([["model", "category", "intent"], ["model", "category"], ["model"]], "model", "category", "intent").agg(F.count("*").alias("n"))
+    total = F.max("n").over(Window.partitionBy("model"))  # the model's own row
+    return counts.select("category", "intent", "model", "n", (F.col("n") * 100.0 / total).alias("pct"))
+
+
 def submission_funnel(runs: DataFrame) -> DataFrame:
     status = F.col("exit_status")
     return runs.groupBy("model").agg(
@@ -163,6 +204,13 @@ def failure_families(steps: DataFrame) -> DataFrame:
     return counts.withColumn("share", share("n", "model"))
 
 
+def mode_share(steps: DataFrame, modes: list[str]) -> DataFrame:
+    """Per model: how many of its failures are of the given modes, and their share; models without a failure have no share."""
+    held = F.coalesce(F.col("mode").isin(modes), F.lit(False))
+    failed, some = count_if(F.col("mode").isNotNull()), count_if(held)
+    return steps.groupBy("model").agg(failed.alias("n_failures"), some.alias("n"), F.try_divide(some.cast("double"), failed).alias("share"))
+
+
 def failure_samples(steps: DataFrame, most: int = 4, action_chars: int = 600, observation_chars: int = 800) -> DataFrame:
     """A top-k report: the first failure of each mode in a run, of the first ``most`` runs of a model and mode."""
     first = steps.where("mode is not null").groupBy("model", "mode", "run_id").agg(F.min_by(F.struct("step_idx", "action", "observation"), "step_idx").alias("s"))
@@ -179,11 +227,11 @@ def run_stats(steps: DataFrame) -> DataFrame:
     seconds = F.coalesce("execution_time", F.lit(0.0))
     out = steps.withColumn("seconds", seconds).groupBy("run_id", "model").agg(
         F.count("*").alias("steps"), F.sum("seconds").alias("tool_time"), F.avg("seconds").alias("tool_time_mean"), F.max("seconds").alias("tool_time_max"),
+        F.expr("percentile_disc(0.5) within group (order by seconds desc)").alias("tool_time_median"),  # from above, so the upper one
         count_if(F.col("seconds") > 10).alias("over_10s"), count_if(F.col("seconds") > 60).alias("over_60s"), *acts,
         text("observation").alias("observation_chars"), text("action").alias("action_chars"), text("thought").alias("thought_chars"),
     )
-    upper = order_statistics(steps.withColumn("seconds", seconds), ["run_id"], "seconds", {"tool_time_median": lambda n: F.floor(n / 2)}).drop("n")
-    return out.join(upper, "run_id")
+    return out
 
 
 def model_summary(runs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -211,7 +259,7 @@ def outcome_breakdown(runs: DataFrame, stats: DataFrame) -> DataFrame:
 def tail_mix(steps: DataFrame, start: float = 0.7) -> DataFrame:
     """Intents of the last part of each run, from step floor(start * n) on."""
     n = F.count("*").over(Window.partitionBy("run_id"))
-    late = steps.withColumn("n", n).where(F.col("step_idx") >= F.floor(F.col("n") * int(start * 10) / 10))
+    late = steps.withColumn("n", n).where(F.col("step_idx") >= F.floor(F.col("n") * start))
     return late.groupBy("model", "intent").agg(F.count("*").alias("n")).withColumn("share", share("n", "model"))
 
 

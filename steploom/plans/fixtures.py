@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.intents import with_intent
-from ..functions.outcomes import action_category, failure_mode, verify_outcome
+from ..operators.labels import label, taxonomy, with_acts, with_modes
 from .templates import STEPS
 
 MODELS = ["claude45", "gpt5", "gemini25pro", "glm45"]
@@ -82,20 +81,18 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def taxonomy(spark: SparkSession, session: bool = False) -> DataFrame:
-    return spark.createDataFrame(dims.taxonomy(session), "intent string, category string, letter string, phase string")
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label(steps(spark, sf_dir))
 
 
-def label(rows: DataFrame) -> DataFrame:
-    """Steps with intent, category, letter, phase, outcome, mode and action category; no shuffle."""
-    out = with_intent(rows)
-    out = out.withColumn("outcome", verify_outcome(F.col("action"), F.col("observation"), F.col("intent")))
-    out = out.withColumn("mode", failure_mode(F.col("action"), F.col("observation"))).withColumn("act", action_category(F.col("action")))
-    return out.join(F.broadcast(taxonomy(rows.sparkSession)), "intent", "left")  # 51 rows
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with their failure mode, and no other label."""
+    return with_modes(steps(spark, sf_dir))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label(steps(spark, sf_dir))
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with the class of their action, and no other label."""
+    return with_acts(steps(spark, sf_dir))
 
 
 def _golden() -> list[tuple]:

@@ -37,7 +37,7 @@ def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.run_stats(fixtures.labelled(spark, sf_dir))
+    return marts.run_stats(fixtures.actions(spark, sf_dir))
 
 
 def per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +68,12 @@ def verify_outcome(spark, sf_dir):
 
 @query("select run_id, step_idx, mode from steps where mode is not null")
 def failure_mode(spark, sf_dir):
-    return fixtures.labelled(spark, sf_dir).where("mode is not null").select("run_id", "step_idx", "mode")
+    return fixtures.failures(spark, sf_dir).where("mode is not null").select("run_id", "step_idx", "mode")
 
 
 @query("select run_id, step_idx, act from steps")
 def action_category(spark, sf_dir):
-    return fixtures.labelled(spark, sf_dir).select("run_id", "step_idx", "act")
+    return fixtures.actions(spark, sf_dir).select("run_id", "step_idx", "act")
 
 
 @query("select model, intent, count(*) as n, count(*)::double / sum(count(*)) over (partition by model) as share from steps group by model, intent")
@@ -263,17 +263,17 @@ def submission_funnel(spark, sf_dir):
 
 @query("select model, count(distinct run_id) as n_runs, count(*) as n_steps, count(mode) as n_failures, count(mode)::double / count(*) as rate from steps group by model")
 def failure_rates(spark, sf_dir):
-    return marts.failure_rates(fixtures.labelled(spark, sf_dir))
+    return marts.failure_rates(fixtures.failures(spark, sf_dir))
 
 
 @query("select model, mode, count(*) as n, count(distinct run_id) as n_runs from steps where mode is not null group by 1, 2")
 def failure_modes(spark, sf_dir):
-    return marts.failure_modes(fixtures.labelled(spark, sf_dir))
+    return marts.failure_modes(fixtures.failures(spark, sf_dir))
 
 
 @query(f", fam(family, mode) as ({dims.values_sql([(f, m) for m, f in dims.MODE_FAMILY.items()])}) select model, family, count(*) as n, count(*)::double / sum(count(*)) over (partition by model) as share from steps join fam using (mode) group by 1, 2")
 def failure_families(spark, sf_dir):
-    return marts.failure_families(fixtures.labelled(spark, sf_dir))
+    return marts.failure_families(fixtures.failures(spark, sf_dir))
 
 
 @query(""", f as (select model, mode, run_id, min(step_idx) as step_idx from steps where mode is not null group by 1, 2, 3),
@@ -281,7 +281,7 @@ r as (select *, row_number() over (partition by model, mode order by run_id) as
 select r.model, r.mode, place, r.run_id, r.step_idx, least(action_chars, 600) as action_chars, least(observation_chars, 800) as observation_chars
 from r join steps s on s.run_id = r.run_id and s.step_idx = r.step_idx where place <= 4""")
 def failure_samples(spark, sf_dir):
-    s = marts.failure_samples(fixtures.labelled(spark, sf_dir))
+    s = marts.failure_samples(fixtures.failures(spark, sf_dir))
     return s.select("model", "mode", "place", "run_id", "step_idx", F.length("action").alias("action_chars"), F.length("observation").alias("observation_chars"))
 
 
