@@ -181,6 +181,17 @@ def classification_table(steps: DataFrame) -> DataFrame:
     return counts.select("category", "intent", "model", "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
+def all_models(rows: DataFrame, name: str = "all") -> DataFrame:
+    """The rows as if of one model, for a mart over all models."""
+    return rows.withColumn("model", F.lit(name))
+
+
+def edit_markers(positions: DataFrame) -> DataFrame:
+    """(model, marker, n, median, p25, p75): where the first and the last edit are, over the runs with an edit."""
+    cells = F.array(*[F.struct(F.lit(m).alias("marker"), F.col(m).alias("at")) for m in ("first_edit", "last_edit")])
+    return nearest_quartiles(positions.select("model", F.explode(cells).alias("c")).select("model", "c.marker", "c.at"), ["model", "marker"], "at")
+
+
 def submission_funnel(runs: DataFrame) -> DataFrame:
     status = F.col("exit_status")
     return runs.groupBy("model").agg(

@@ -10,7 +10,11 @@ from ..functions.sessions import BLAME_WORDS, CLOSE_INSTRUCTION, CLOSEOUT_WORDS,
 from .marts import count_if
 
 BINS = 20
+#: The macros of user messages; a brief is in none.
 MACROS = {"authorize_work": "authorization", "solution_steer": "steering", "evidence_or_repro": "steering", "qa_or_critique": "steering", "validation_request": "steering", "workflow_closeout": "closeout"}
+#: The macros where analysis and work have starts of their own.
+START_MACROS = {"task_brief": "analysis_start", "authorize_work": "work_start", "solution_steer": "solution_steering", "evidence_or_repro": "solution_steering", "qa_or_critique": "solution_steering", "validation_request": "solution_steering", "workflow_closeout": "workflow_closeout"}
+#: Shell calls that ship.
 PUSH = r"\bgit (?:-c [^\s]+\s+)?push\b"
 COMMIT = r"\bgit (?:-c [^\s]+\s+)?commit\b"
 
@@ -38,6 +42,12 @@ def messages(user_turns: DataFrame, calls: DataFrame) -> DataFrame:
     return e.withColumn("class", message_class(F.col("text"), F.col("message_index"))).select("session", "turn", "message_index", "text", "class", "steps_before", "total_steps", "progress", "bin")
 
 
+def macro_stats(rows: DataFrame, macros: dict[str, str]) -> DataFrame:
+    """``message_stats`` by macros, groups of classes; messages of a class in no group are left out of all counts."""
+    macro = F.create_map(*[F.lit(x) for pair in macros.items() for x in pair])
+    return message_stats(rows.withColumn("macro", macro[F.col("class")]).where("macro is not null"), "macro")
+
+
 def first_occurrence(rows: DataFrame, key: str) -> DataFrame:
     """(session, model, key, progress, message_index): the first message of each key in a session."""
     return rows.groupBy("session", "model", key).agg(F.min("message_index").alias("message_index"), F.min_by("progress", "message_index").alias("progress"))
@@ -175,6 +185,13 @@ def issue_resolution(sessions: DataFrame, bridge: DataFrame) -> DataFrame:
     return kinds.join(issues, "model", "left").na.fill(0, ["n_attempted", "n_resolved"])
 
 
+def with_issue_totals(per_model: DataFrame) -> DataFrame:
+    """``issue_resolution`` with the rate of each model, and a row of all (null): sums, where an issue counts once a model."""
+    sums = [c for c in per_model.columns if c != "model"]
+    out = per_model.groupingSets([["model"], []], "model").agg(*[F.sum(c).alias(c) for c in sums])
+    return out.withColumn("rate", F.coalesce(F.try_divide(F.col("n_resolved") * 100.0, F.col("n_attempted")), F.lit(0.0)))
+
+
 def resolved_issues(sessions: DataFrame, bridge: DataFrame) -> DataFrame:
     """(model, key): issues that some single-model session of a model shipped; sessions(session, model, shipped)."""
     return bridge.join(sessions.where("shipped and model is not null"), "session").select("model", "key").distinct()
@@ -213,3 +230,15 @@ def peer_landscape(sessions: DataFrame, bridge: DataFrame) -> DataFrame:
     return one.groupBy("model").agg(
         F.sum(F.when(F.col("peers") == 0, F.col("k")).otherwise(0)).alias("no_peer"), total("same").alias("same_model"), total("diff").alias("other_model"), total("pr").alias("pr_peers"), total("other").alias("other_peers")
     )
+
+
+def beside_baseline(own: DataFrame, base: DataFrame, baselines: dict[str, str], on: list[str] | None = None) -> DataFrame:
+    """Marts of session models beside the same marts of the models they are compared with, as ``base_…``.
+
+    Models of ``own`` without a baseline are left out; where the baseline has no row, its columns are null. ``on`` names the
+    keys that both have besides the model.
+    """
+    on = on or []
+    names = own.sparkSession.createDataFrame(list(baselines.items()), "model string, baseline string")
+    other = base.select(F.col("model").alias("baseline"), *on, *[F.col(c).alias(f"base_{c}") for c in base.columns if c not in ("model", *on)])
+    return own.join(F.broadcast(names), "model").join(other, ["baseline", *on], "left")

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dims
 from ..functions.outcomes import verify_outcome
 from ..functions.sessions import issue_keys, normalize_model, with_tool_intent
 from ..sources.ingest import flatten_content
 from . import marts
 from . import sessions as S
+from .labels import taxonomy
 from .sequences import positions, sequence_labels
 
 
@@ -111,7 +111,7 @@ def labelled_calls(events: DataFrame) -> DataFrame:
 
 def steps(labelled: DataFrame, models: DataFrame) -> DataFrame:
     """Labelled calls as the steps of a run: its session, in order, with category, letter, phase and outcome."""
-    tax = labelled.sparkSession.createDataFrame(dims.taxonomy(True), "intent string, category string, letter string, phase string")
+    tax = taxonomy(labelled.sparkSession, session=True)
     order = Window.partitionBy("session").orderBy("turn", "j")
     s = labelled.withColumn("step_idx", F.row_number().over(order) - 1).withColumn("outcome", verify_outcome(F.col("action"), F.col("result"), F.col("intent")))
     s = s.join(models, "session").join(F.broadcast(tax), "intent", "left")  # a row per intent

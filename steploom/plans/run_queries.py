@@ -15,6 +15,7 @@ from ..sources import ingest
 from . import fixtures
 from .fixtures import BASE_SQL
 from .templates import GIT, SIGNATURES, STEPS
+from .transcript_files import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -455,7 +456,15 @@ def sequence_rle(spark, sf_dir):
 @query(f"""select (array{fixtures.MODELS})[doc_id % 4 + 1] as model, case when doc_id % 17 = 5 then -1 - doc_id else doc_id // 4 end as instance_id,
   coalesce(quality = 1, false) as resolved from labels""")
 def resolution_dim(spark, sf_dir):
-    return fixtures.outcomes(spark, sf_dir)
+    """Outcomes written as a file with a published header and outside names of the models, and read by the reader; models
+    that it doesn't know are left out."""
+    path = shared_path(spark, "outcomes")
+    shown = F.concat(F.lit("Model "), "model")
+    known = fixtures.outcomes(spark, sf_dir).select(shown.alias("metadata.model_name"), F.col("instance_id").alias("metadata.instance_id"), F.col("resolved").alias("metadata.resolved"))
+    other = known.withColumn("metadata.model_name", F.lit("another model"))
+    known.unionByName(other).write.option("header", True).csv(path)
+    read = ingest.outcome_table(spark, path, {f"Model {m}": m for m in fixtures.MODELS})
+    return read.select("model", F.col("instance_id").cast("bigint").alias("instance_id"), "resolved")
 
 
 @query("select r.run_id, r.model, exists (select 1 from labels where doc_id = r.run_id and quality = 1) as resolved from runs r")

@@ -11,6 +11,7 @@ from ..functions.sessions import normalize_model as normalised
 from ..functions.sessions import with_tool_intent
 from ..operators import marts
 from ..operators import sessions as S
+from ..operators.labels import taxonomy
 from .fixtures import table
 from .templates import MESSAGES, NO_RESULT, TOOLS
 
@@ -212,7 +213,7 @@ def git_intent(spark, sf_dir):
 @query(", l as (select i.model, case when m = 0 then intent_none else calls.intent end as intent from calls join info i using (session) where single) select model, category, count(*) as n, count(*)::double / sum(count(*)) over (partition by model) as share from l join tax using (intent) group by 1, 2")
 def session_categories(spark, sf_dir):
     own = S.session_models(model_names(spark, sf_dir)).where("single").select("session", "model")
-    tax = spark.createDataFrame(dims.taxonomy(True), "intent string, category string, letter string, phase string")
+    tax = taxonomy(spark, session=True)
     c = labelled_calls(spark, sf_dir).join(own, "session").join(F.broadcast(tax), "intent")
     return c.groupBy("model", "category").agg(F.count("*").alias("n")).withColumn("share", marts.share("n", "model"))
 
@@ -295,9 +296,12 @@ def user_message_timing(spark, sf_dir):
 
 @query(", mac as (select *, case class when 'authorize_work' then 'authorization' when 'workflow_closeout' then 'closeout' else 'steering' end as macro from mm where class <> 'task_brief'), " + _FIRST("macro", "mac"))
 def intervention_markers(spark, sf_dir):
-    macro = F.create_map(*[F.lit(x) for pair in S.MACROS.items() for x in pair])
-    rows = labelled_messages(spark, sf_dir).withColumn("macro", macro[F.col("class")]).where("macro is not null")
-    return S.message_stats(rows, "macro")
+    return S.macro_stats(labelled_messages(spark, sf_dir), S.MACROS)
+
+
+@query(", mac as (select *, case class when 'task_brief' then 'analysis_start' when 'authorize_work' then 'work_start' when 'workflow_closeout' then 'workflow_closeout' else 'solution_steering' end as macro from mm), " + _FIRST("macro", "mac"))
+def intervention_starts(spark, sf_dir):
+    return S.macro_stats(labelled_messages(spark, sf_dir), S.START_MACROS)
 
 
 @query("select session, key from bridge")
@@ -344,6 +348,20 @@ def issue_resolution(spark, sf_dir):
     return S.issue_resolution(chosen_sessions(spark, sf_dir), bridge(spark, sf_dir))
 
 
+@query(""", c as (select info.session, info.model, starts_with(lower(name), 'issue:') as chosen, coalesce(kind, '') as kind from info left join kinds using (session) where single),
+att as (select distinct model, key from c join bridge using (session) where chosen), won as (select distinct model, key from c join bridge using (session) where kind <> ''),
+m as (select model, count(*) as n_sessions, count(*) filter (kind = 'push') as n_push, count(*) filter (kind = 'gh_merge') as n_gh_merge, count(*) filter (kind = 'gh_close') as n_gh_close,
+  count(*) filter (kind = 'gh_comment') as n_gh_comment, count(*) filter (kind = 'user_close') as n_user_close,
+  (select count(*) from att where att.model = c.model) as n_attempted, (select count(*) from att join won using (model, key) where att.model = c.model) as n_resolved
+  from c where chosen group by model),
+t as (select * from m union all select null, sum(n_sessions), sum(n_push), sum(n_gh_merge), sum(n_gh_close), sum(n_gh_comment), sum(n_user_close), sum(n_attempted), sum(n_resolved) from m)
+select model, cast(n_sessions as bigint) as n_sessions, cast(n_push as bigint) as n_push, cast(n_gh_merge as bigint) as n_gh_merge, cast(n_gh_close as bigint) as n_gh_close, cast(n_gh_comment as bigint) as n_gh_comment,
+  cast(n_user_close as bigint) as n_user_close, cast(n_attempted as bigint) as n_attempted, cast(n_resolved as bigint) as n_resolved,
+  case when n_attempted > 0 then n_resolved * 100.0::double / n_attempted else 0 end as rate from t""")
+def issue_totals(spark, sf_dir):
+    return S.with_issue_totals(S.issue_resolution(chosen_sessions(spark, sf_dir), bridge(spark, sf_dir)))
+
+
 def shipped_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session_table(spark, sf_dir).where("single").select("session", "model")
     sig = signals(spark, sf_dir).select("session", S.shipped().alias("shipped"))

@@ -5,18 +5,20 @@ import os
 import duckdb
 import pytest
 
-from steploom.plans import fixtures, run_queries, session_queries, stored_queries, transcript_files
+from steploom.plans import detail_queries, fixtures, run_queries, session_queries, stored_queries, transcript_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**run_queries.QUERIES, **session_queries.QUERIES, **transcript_files.QUERIES, **stored_queries.QUERIES}
-ORACLES = {**run_queries.ORACLES, **session_queries.ORACLES, **transcript_files.ORACLES, **stored_queries.ORACLES}
+QUERIES = {**run_queries.QUERIES, **session_queries.QUERIES, **transcript_files.QUERIES, **stored_queries.QUERIES, **detail_queries.QUERIES}
+ORACLES = {**run_queries.ORACLES, **session_queries.ORACLES, **transcript_files.ORACLES, **stored_queries.ORACLES, **detail_queries.ORACLES}
 #: Cheap to run one by one; the rest are held against their SQL by compare.py on larger tables.
 CHECKED = [
     "category_frequencies", "sequence_labels", "structural_markers", "phase_heatmap", "bigram_matrix", "run_stats", "paired_ratios", "work_done_paired", "user_message_stats", "toolcall_intent",
     "toolcall_results", "issue_resolution", "resolution_schemes", "peer_landscape", "session_success",
     "steps", "runs_resolved", "runs_eval", "repo_of_instance", "session_completion", "session_names", "user_message_class", "intent_comparison_4way",
     "transcript_sessions", "transcript_categories", "ledger_calls", "paired_sections", "run_stats_export", "step_ecdf_summary",
+    "key_sequences", "phase_bands_without_git", "wrapper_failures", "post_edit_tail", "inline_snippets", "classification_table", "combined_markers", "repo_of_task", "baseline_markers",
+    "baseline_profile", "streamed_intents", "intervention_starts", "issue_totals", "resolution_dim",
 ]
 
 
