@@ -84,8 +84,8 @@ from r
 
 def template_conversation(spark: SparkSession) -> DataFrame:
     """Conversation -7: both turns hold control strings of a common template."""
-    says = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    says = "'</s>[INST] ok [/INST]'"
+    return spark.sql(f"select * from values (-7L, 0L, 'user', {says}), (-7L, 1L, 'assistant', {says}) as t(conv_id, turn, role, text)")
 
 
 @query
