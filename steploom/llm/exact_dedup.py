@@ -21,64 +21,45 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id and a text are counted, and each copy of the best row says kept. Extra columns are ignored.
     An empty table gives an empty result.
 
-    Narrow rows (hash, length, id) are aggregated before they are shuffled, so a group with a third of all rows is
-    one partial row per task. Rows meet the text of their keeper through a join that adaptive execution can split.
-    The bytes are compared there; rows whose bytes differ from their keeper's (a collision of the 128-bit hash) are
-    grouped again by the text itself.
+    The bytes are compared by the aggregate of a group: its smallest and its largest text are the same only if all its
+    texts are. Tasks aggregate their rows before they shuffle them, so a group with a third of all rows is one row of a
+    task, and a text is shuffled once. Rows then meet their group without their text, in a join that adaptive execution
+    can split. Groups of different texts (a collision of the 128-bit hash) are made again by the text itself.
     """
     return _groups(docs, id_col, text_col).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """What ``exact_groups`` returns, with the length of each original text as n_chars."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n_chars"), normalised(text_col).alias("norm"))
+    rows = rows.withColumn("hash", F.unhex(F.md5("norm")))
     # One order for "best row": longer first, then smaller id, null ids last.
-    rank = F.struct((-F.length("text")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
+    rank = F.struct((-F.col("n_chars")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
+    stats = F.min(rank).alias("best"), F.count("*").alias("n")
     with Scratch(docs.sparkSession, "exact") as work:
-        groups = work.table(rows.groupBy(F.unhex(F.md5(normalised("text"))).alias("hash")).agg(F.min(rank).alias("best"), F.count("*").alias("n")), "groups")
-        # The keepers of real groups, with their text: fetched by id and length, so that a hot group spreads over its ids.
-        wanted = groups.where("n > 1").select(F.col("best.id").alias("k_id"), F.col("best.neg").alias("neg"), F.col("hash").alias("k_hash"))
-        fetched = rows.join(wanted, F.col("id").eqNullSafe(F.col("k_id")) & (-F.length("text") == F.col("neg")))
-        keepers = (
-            fetched.select("k_hash", normalised("text").alias("k_text"))
-            .where(F.unhex(F.md5("k_text")) == F.col("k_hash"))
-            .dropDuplicates(["k_hash"])
-        )
-        keepers = work.table(groups.join(keepers, F.col("hash") == F.col("k_hash"), "left").select("hash", "best", "n", "k_text"), "keepers")
-        texts = rows.withColumn("norm", normalised("text"))
-        seen = texts.select("id", F.length("text").alias("n_chars"), "norm", F.unhex(F.md5("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
-        judged = seen.join(keepers, "hash").withColumn("same", F.coalesce(F.col("norm") == F.col("k_text"), F.lit(True)))
-        result = materialise(_verdict(judged, id_col), "exact")
-        if not result.where("not same").isEmpty():
-            first = result
-            lost = first.where("not same").groupBy("hash").agg(F.count("*").alias("lost"))
-            fair = first.where("same").join(lost, "hash", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
-            result = materialise(fair.drop("lost").unionByName(_collisions(judged.where("not same"), id_col)), "exact")
-            work.drop(first)
-    return result
+        groups = work.table(rows.groupBy("hash").agg(*stats, (F.min("norm") == F.max("norm")).alias("same")), "groups")
+        narrow = rows.select("id", "n_chars", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"))
+        found = _verdict(narrow.join(groups.where("same"), "hash"), id_col)
+        mixed = groups.where("not same").select("hash")
+        if not mixed.isEmpty():
+            apart = rows.join(mixed, "hash")
+            apart = apart.join(apart.groupBy("hash", "norm").agg(*stats), ["hash", "norm"])
+            found = found.unionByName(_verdict(apart.withColumn("sha", F.unhex(F.sha2("norm", 256))), id_col))
+        return materialise(found, "exact")
 
 
 def _verdict(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(
-        "hash",
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.neg"))).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
         "n_chars",
-        "same",
     )
 
 
-def _collisions(other: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose bytes differ from their keeper's, grouped by the text itself."""
-    other = other.select("hash", "id", "n_chars", "norm", "text_sha256", "same")
-    rank = F.struct((-F.col("n_chars")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
-    best = other.groupBy("hash", "norm").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-    return _verdict(other.join(best, ["hash", "norm"]), id_col)
-
-
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each group the longest text, then the smallest id, null ids last.
 
