@@ -8,75 +8,98 @@ containment.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
+from .license_signatures import SIGNATURES
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Licences: label, keyword, expression of the name in normal form. Versions follow the name.
+#: Names of licences: label, keyword, expression of the name in normal form. ``{1}`` to ``{4}`` stand for that version as it is
+#: written behind a name ("3", "v3", "version 3", "3 0"; "gplv3" too). One licence may have several names; they share its label.
 LICENCES = (
     ("mit", " mit ", r"mit"),
     ("mit", " expat ", r"expat"),
     ("mit", " x11 ", r"x11"),
     ("mit-0", " mit ", r"mit (?:no attribution|0)"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1"),
-    ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1 1"),
+    ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?{2}"),
+    ("apache", "apache licen", r"apache licen[sc]e"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"),
+    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)"),
     ("bsd", "bsd", r"(?:bsd|bsd style)"),
     ("isc", " isc ", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("libpng", "libpng", r"libpng"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?"),
+    ("wtfpl", "wtfpl", r"wtfpl{2}?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-1.0", "cc by", r"cc by 1 0"),
+    ("cc-by-1.0", "cc by", r"cc by{1}"),
     ("cc-by-2.0", "cc by", r"cc by 2 0"),
     ("cc-by-2.5", "cc by", r"cc by 2 5"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0"),
-    ("cc-by-sa-3.0", "cc by sa", r"cc by sa 3 0"),
-    ("cc-by-sa-4.0", "cc by sa", r"cc by sa 4 0"),
-    ("cc-by-nc-3.0", "cc by nc", r"cc by nc 3 0"),
-    ("cc-by-nc-4.0", "cc by nc", r"cc by nc 4 0"),
-    ("cc-by-nd-4.0", "cc by nd", r"cc by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by nc sa", r"cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by nc nd", r"cc by nc nd 4 0"),
-    ("cc-by-attribution", "creative commons", r"creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa-attribution", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc-attribution", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd-attribution", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] [05])?"),
-    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
-    ("gpl-2.0-long", "general public", r"(?:gnu )?general public licen[sc]e(?: gpl)? version 2(?: 0)?"),
-    ("gpl-3.0-long", "general public", r"(?:gnu )?general public licen[sc]e(?: gpl)? version 3(?: 0)?"),
-    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-long", "lesser general", r"(?:gnu )?lesser general public licen[sc]e(?: version (?:2 1|3|3 0))?"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
-    ("agpl-long", "affero", r"(?:gnu )?affero general public licen[sc]e(?: version 3)?"),
-    ("gfdl-1.3", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: version 1 [123])?"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e(?: version)? 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e(?: version)? 2 0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e(?: version| v)? ?1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e(?: version| v)? ?2 0"),
-    ("edl-1.0", "eclipse", r"eclipse distribution licen[sc]e"),
+    ("cc-by-3.0", "cc by", r"cc by{3}"),
+    ("cc-by-4.0", "cc by", r"cc by{4}"),
+    ("cc-by-sa-3.0", "cc by sa", r"cc by sa{3}"),
+    ("cc-by-sa-4.0", "cc by sa", r"cc by sa{4}"),
+    ("cc-by-nc-3.0", "cc by nc", r"cc by nc{3}"),
+    ("cc-by-nc-4.0", "cc by nc", r"cc by nc{4}"),
+    ("cc-by-nd-4.0", "cc by nd", r"cc by nd{4}"),
+    ("cc-by-nc-sa-4.0", "cc by nc sa", r"cc by nc sa{4}"),
+    ("cc-by-nc-nd-4.0", "cc by nc nd", r"cc by nc nd{4}"),
+    ("cc-by", "commons attribution", r"(?:creative )?commons attribution"),
+    ("cc-by-3.0", "commons attribution", r"creative commons attribution(?: unported)?{3}"),
+    ("cc-by-4.0", "commons attribution", r"creative commons attribution(?: international)?{4}"),
+    ("cc-by-sa", "commons attribution share", r"creative commons attribution share ?alike"),
+    ("cc-by-sa-3.0", "commons attribution share", r"creative commons attribution share ?alike{3}"),
+    ("cc-by-sa-4.0", "commons attribution share", r"creative commons attribution share ?alike{4}"),
+    ("cc-by-nc", "commons attribution non", r"creative commons attribution non ?commercial"),
+    ("cc-by-nc-4.0", "commons attribution non", r"creative commons attribution non ?commercial{4}"),
+    ("cc-by-nc-sa-4.0", "commons attribution non", r"creative commons attribution non ?commercial share ?alike{4}"),
+    ("cc-by-nd", "commons attribution no", r"creative commons attribution no ?deriv(?:ative)?s?"),
+    ("cc-by-nd-4.0", "commons attribution no", r"creative commons attribution no ?deriv(?:ative)?s?{4}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl{1}"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl{2}"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl{3}"),
+    ("gpl-1.0", "general public", r"(?:gnu )?general public licen[sc]e(?: gpl)?{1}"),
+    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e(?: gpl)?{2}"),
+    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e(?: gpl)?{3}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl{2}"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v|v)? ?2 1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl{3}"),
+    ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("lgpl-2.0", "library general", r"(?:gnu )?library general public licen[sc]e{2}"),
+    ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public licen[sc]e(?: version| v)? ?2 1"),
+    ("lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public licen[sc]e{3}"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl{3}"),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"),
+    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e{3}"),
+    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e"),
+    ("gfdl-1.2", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: version| v)? ?1 2"),
+    ("gfdl-1.3", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: version| v)? ?1 3"),
+    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e(?: version| v)? ?1 1"),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e{2}"),
+    ("mpl-2.0", "mpl", r"mpl{2}"),
+    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e{1}"),
+    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e{2}"),
+    ("edl-1.0", "eclipse", r"eclipse distribution licen[sc]e{1}?"),
     ("cddl-1.0", "common development", r"common development and distribution licen[sc]e"),
     ("cpl-1.0", "common public", r"common public licen[sc]e"),
     ("eupl-1.2", "european union public", r"european union public licen[sc]e"),
-    ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: 1 0)?"),
-    ("artistic-2.0", "artistic", r"artistic licen[sc]e 2 0"),
-    ("bsl-1.0", "boost", r"boost software licen[sc]e"),
+    ("artistic-1.0", "artistic", r"artistic licen[sc]e{1}?"),
+    ("artistic-2.0", "artistic", r"artistic licen[sc]e{2}"),
+    ("bsl-1.0", "boost", r"boost software licen[sc]e{1}?"),
     ("busl-1.1", "business source", r"business source licen[sc]e"),
-    ("elastic-2.0", "elastic", r"elastic licen[sc]e"),
+    ("elastic-2.0", "elastic", r"elastic licen[sc]e{2}?"),
     ("sspl-1.0", "server side public", r"server side public licen[sc]e"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e"),
     ("odbl-1.0", "open database", r"open database licen[sc]e"),
@@ -100,53 +123,52 @@ LICENCES = (
 #: Forms in which a licence is named: priority (1 is strongest), weight, expression around the name, extra gate word.
 FORMS = (
     ("tag", 1, 0.95, r"spdx licen[sc]e identifier {name}"),
-    ("grant", 1, 0.9, r"(?:licen[sc]ed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version [1-4](?: [05])?)?"),
+    ("grant", 1, 0.9, r"(?:licen[sc]ed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?"),
     ("title", 2, 0.75, r"{name} licen[sc]e"),
     ("see", 2, 0.6, r"licen[sc]e (?:is |the )?{name}"),
 )
 
-#: Further signatures: label, keyword, expression, priority, weight.
-SIGNATURES = (
-    ("mit-text", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
-    ("mit-warranty", "warranty of any kind", r"the software is provided as is without warranty of any kind", 2, 0.7),
-    ("bsd-text", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 0.9),
-    ("bsd-disclaimer", "copyright holders and contributors", r"provided by the copyright holders and contributors as is", 2, 0.7),
-    ("isc-text", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose", 1, 0.9),
-    ("apache-text", "apache", r"you may not use this file except in compliance with the licen[sc]e", 1, 0.9),
-    ("gpl-text", "free software", r"this program is free software you can redistribute it and or modify it", 1, 0.9),
-    ("gpl-later", "any later version", r"(?:or at your option )?any later version", 3, 0.4),
-    ("public-domain", "public domain", r"(?:released into|dedicated to|placed in|in) the public domain", 2, 0.7),
-    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 2, 0.7),
-    ("no-copying", "unauthorized copying", r"unauthorized copying of this (?:file|software|work)", 2, 0.7),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", 3, 0.4),
-    ("copyright-holder", "copyright", r"copyright (?:holder|owner|notice)s?", 3, 0.3),
-    ("spdx-tag", "spdx", r"spdx licen[sc]e identifier", 3, 0.5),
-    ("license-word", "licen", r"(?:this|the) (?:work|software|file|document|code) is licen[sc]ed", 3, 0.3),
-    ("trademark", "trademark", r"(?:registered )?trademarks? of", 3, 0.2),
-    ("non-commercial", "commercial use", r"(?:non commercial use only|not for commercial use|personal and non commercial use)", 2, 0.6),
-    ("no-derivatives", "derivative", r"no derivative works?", 3, 0.4),
-    ("attribution-required", "attribution", r"attribution (?:is )?required", 3, 0.3),
-    ("dual-license", "licen", r"dual licen[sc]ed", 3, 0.5),
-)
-
-#: A text without any of these words can match no rule and no base phrase.
-GATE = r" (?:licen[sc]|spdx|cc by|rights reserved|released|distributed|published|available under|provided|hereby|redistribution|permission|copyright|free software|any later|public domain|proprietary|confidential|unauthorized|trademarks? of|registered trade|commercial use|derivative|attribution|dual licen|you may not|as is without|unlicense|cc0)"
+#: A text in which no word starts so matches no rule and no base phrase.
+STARTS = (
+    "additional use", "advertising ", "affero", "agpl", "altered source", "any later", "apache ", "artistic", "as a special", "as is without", "attribution", "autoconf", "available under",
+    "based in part", "between the python", "bsd 2", "bsd 3", "binary forms", "buy me a beer", "cc by", "cc0", "cddl", "claim that you", "classpath exception", "commercial ", "commons clause", "confidential", "copyleft", "copyright",
+    "creative commons", "creativecommons", "derivative", "distributed", "dual licen", "eclipse", "endorse or", "eric young", "fitness", "following acknowledgement", "fraud", "free software",
+    "freedom to", "functionality of the", "gcc runtime", "gemma terms", "gnu ", "good not evil", "gpl", "heirs and", "hereby", "hosted or managed", "implied warranties", "independent jpeg", "independent modules",
+    "initial developer", "interacting with it", "invariant sections", "itself", "larger work", "lgpl", "liab", "licen", "llama materials", "machine executable", "may not be used", "misrepresented", "mozilla", "mpl ",
+    "ms pl", "mulan", "neither the name", "no part of", "no warrant", "odbl", "openssl", "permission", "permitted", "personal use", "php software", "procurement", "proprietary", "prior written", "provided",
+    "public domain", "publicdomain", "published", "python", "read this agreement", "redistribut", "registered trade", "relinquishment", "representations", "reproduced", "research ", "reserved font", "released",
+    "rights reserved", "royalty", "ruby", "same terms as", "secret", "secrets", "software developed", "spdx", "sublicen", "syscall", "terms and conditions for", "this software", "trade secret", "trademark", "trademarks", "unauthorized",
+    "united states government", "unlicense", "use based", "uses the db", "uses the library", "want to", "warrant", "without restriction", "x consortium", "you may ",
+)
+#: The same by first letters, so that a word is held against few of them.
+GATE = " (?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in of)})" for c, of in itertools.groupby(sorted(STARTS), lambda w: w[0])) + ")"
 #: Between words. Capitals are lower-cased later, and only where a rule may match, so they count as letters here.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _named(name: str) -> str:
+    """The expression of a name, with its version in any form."""
+    for k in "1234":
+        name = name.replace(f"{{{k}}}?", f"(?:{{{k}}})?").replace(f"{{{k}}}", rf"(?: version | version|v| v| v | )?{k}(?: 0)?")
+    return name
+
+
 def rules() -> list[tuple[str, str, str, int, float, bool]]:
     """(label, keyword, expression, priority, weight, base), in order."""
     out = [(label, f" {phrase} ", phrase, 2, 0.5, True) for phrase, label in BASE]
     for label, keyword, name in LICENCES:
-        out += [(label, keyword, form.format(name=name), priority, weight, False) for _, priority, weight, form in FORMS]
+        out += [(label, keyword, form.format(name=_named(name)), priority, weight, False) for _, priority, weight, form in FORMS]
     return out + [(label, keyword, expression, priority, weight, False) for label, keyword, expression, priority, weight in SIGNATURES]
 
 
 def _rule_table() -> Column:
-    """All rules as one constant."""
-    rows = [{"label": a, "keyword": k, "regex": f"(?<= ){e}(?= )", "priority": p, "weight": w, "base": b} for a, k, e, p, w, b in rules()]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,keyword:string,regex:string,priority:int,weight:double,base:boolean>>")
+    """All rules as one constant, grouped by the first word of their keyword: where that doesn't occur, neither does the keyword."""
+    first = lambda r: r[1].split()[0]
+    rows = [
+        {"word": word, "rules": [{"label": a, "keyword": k, "regex": f"(?<= ){e}(?= )", "priority": p, "weight": w, "base": b} for a, k, e, p, w, b in of]}
+        for word, of in itertools.groupby(sorted(rules(), key=first), first)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<word:string,rules:array<struct<label:string,keyword:string,regex:string,priority:int,weight:double,base:boolean>>>>")
 
 
 def _spaces(text: Column) -> Column:
@@ -196,19 +218,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Base phrases report all their places; the labels are the base labels and those of the surviving detections. The
     score is the largest weight among surviving detections and base phrases, 0 without any. Null and empty texts have
     no words and no label; ties between rules that match the same words go by priority, then label. Rows that repeat
-    are scanned each; null ids are kept; extra columns are ignored.
+    are scanned each; null ids are kept; extra columns are ignored; an empty table gives an empty result.
     """
     squeezed = F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), NOT_WORD, " "))
     rows = docs.select(F.col(id_col), F.concat(F.lit(" "), squeezed, F.lit(" ")).alias("form"))
     n_words = F.when(F.length("form") == 2, F.lit(0)).otherwise(_spaces(F.col("form")) - 1).cast("long")
     rows = rows.select(id_col, n_words.alias("n_words"), F.when(F.col("form").rlike(f"(?i){GATE}"), F.translate("form", UPPER, LOWER)).alias("form"))
-    active = F.filter(_rule_table(), lambda r: F.contains(F.col("form"), r["keyword"]))
+    groups = F.filter(_rule_table(), lambda g: F.contains(F.col("form"), g["word"]))
+    active = F.filter(F.flatten(F.transform(groups, lambda g: g["rules"])), lambda r: F.contains(F.col("form"), r["keyword"]))
     found = F.when(F.col("form").isNotNull(), F.flatten(F.transform(active, lambda r: _detections(F.col("form"), r))))
     rows = rows.withColumn("detections", F.coalesce(found, F.array().cast(DETECTION))).drop("form")
     return rows.withColumn("survivors", _survivors(F.col("detections")))
 
 
 def licence_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score): one row per input row.
+
+    Null and empty texts have no words, no places, empty labels and a score of 0; first_word and last_word are null without
+    a base phrase. Ties, repeated rows, null ids and extra columns are as in ``scan``; an empty table gives an empty result.
+    """
     base = F.filter("detections", lambda d: d["base"])
     names = lambda found: F.transform(found, lambda d: d["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -82,6 +82,24 @@ def phrases(text):
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def licences(text, rules):
+    """op5's labels and score in plain Python: every rule over the whole text, then what no stronger or equal place contains."""
+    form = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", (text or "").translate(LOWER)).strip(" ") + " "
+    found, sure = set(), []
+    for label, keyword, expression, priority, weight, base in rules:
+        if keyword in form:
+            for m in re.finditer(f"(?<= ){expression}(?= )", form):
+                found.add((m.start(), -m.end(), priority, label, weight, base))
+                sure += [(label, weight)] if base else []
+    left = []
+    top = {1: -1, 2: -1, 3: -1}  # how far places of a priority reach, of those that start no later
+    for start, end, priority, label, weight, _ in sorted(found):
+        if max(top[p] for p in range(1, priority + 1)) < -end:
+            left.append((label, weight))
+        top[priority] = max(top[priority], -end)
+    return ",".join(sorted({x for x, _ in left + sure})), max((w for _, w in left + sure), default=0.0)
+
+
 def _discounts(n1, n2, n3, n4):
     if min(n1, n2, n3, n4) <= 0:
         return 0.5, 1.0, 1.5

@@ -244,28 +244,12 @@ def test_licence_rules(spark):
     got = by_id(license_scan.licence_report(df), "labels", "score", "n_base", "first_word", "last_word")
     assert "apache-2.0" in got[1][0] and got[1][1] == 0.9 and "license-word" not in got[1][0]
     assert got[2] == ("mit,reserved", 0.9, 2, 5, 8)
-    assert "gpl" in got[3][0].split(",") and "gpl-3.0-long" in got[3][0]
+    assert "gpl" in got[3][0].split(",") and "gpl-3.0" in got[3][0].split(",")
     assert "bsd-3-clause" in got[4][0] and "spdx-tag" not in got[4][0]
     assert {"cc-by", "cc-by-nc-4.0"} <= set(got[5][0].split(","))
     assert got[6] == ("", 0.0, 0, None, None)
 
 
-def test_licence_gate_lets_every_rule_through():
-    """Each rule's shortest forms pass the gate, so the gate drops no match."""
-    import re
-
-    gate = re.compile(license_scan.GATE)
-    names = {name: name.replace("licen[sc]e", "license") for _, _, name in license_scan.LICENCES}
-    assert len(license_scan.rules()) > 200
-    for _, phrase, _, _, _, _ in license_scan.rules()[:3]:
-        assert gate.search(phrase)
-    for form in ("spdx license identifier x ", "licensed under x ", "released under x ", "distributed under x ", "published under x ", "available under x ", "provided under x ", "x license ", "license x "):
-        assert gate.search(" " + form)
-    assert names
-    for text in ("permission is hereby granted", "provided by the copyright holders", "redistribution and use", "permission to use copy", "you may not use this file", "this program is free software", "any later version", "in the public domain", "proprietary and confidential", "confidential and proprietary", "unauthorized copying", "copyright 2020", "trademarks of", "trademark of", "registered trademark of", "not for commercial use", "personal and non commercial use", "no derivative work", "attribution required", "dual licensed", "the software is provided as is"):
-        assert gate.search(f" {text} "), text
-
-
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     sources = {}
