@@ -168,9 +168,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> str:
     lines = files.transcript_rows(spark, sf_dir)
 
     def steps(session: SparkSession, paths: list[str], pattern: str) -> DataFrame:
-        # The files are named by the folder of their session.
-        e = ingest.transcripts(session, paths, pattern=pattern).withColumn("session", F.regexp_extract("path", "session=([^/]+)/", 1).cast("bigint"))
-        return streamed.label_events(e)
+        return streamed.label_events(files.read_packed(session, paths))
 
     for part in ("session % 3 = 1", "session % 3 <> 1"):
         files.write_lines(lines.where(part), f"{path}/files")

@@ -16,7 +16,7 @@ TRAJECTORY = (
 _EDIT = "struct<oldText:string,newText:string,old_string:string,new_string:string>"
 _ARGUMENTS = f"struct<path:string,offset:bigint,limit:bigint,command:string,pattern:string,oldText:string,newText:string,old_string:string,new_string:string,edits:array<{_EDIT}>>"
 EVENT = (
-    "type string, cwd string, name string, modelId string, message struct<role:string,model:string,stopReason:string,toolCallId:string,isError:boolean,details:struct<diff:string>,"
+    "type string, sessionId string, cwd string, name string, modelId string, message struct<role:string,model:string,stopReason:string,toolCallId:string,isError:boolean,details:struct<diff:string>,"
     f"content:array<struct<type:string,text:string,id:string,name:string,arguments:{_ARGUMENTS}>>>, bad string"
 )
 CONFIG = "agent struct<model:struct<name:string,temperature:double,per_instance_call_limit:bigint,total_cost_limit:double,completion_kwargs:map<string,string>>>"
