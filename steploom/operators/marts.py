@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -267,10 +269,11 @@ def outcome_breakdown(runs: DataFrame, stats: DataFrame) -> DataFrame:
     return j.groupBy("model", "outcome").agg(F.count("*").alias("n"), F.avg("cost").alias("mean_cost"), F.avg("steps").alias("mean_steps"), F.avg("tool_time").alias("mean_tool_time"))
 
 
-def tail_mix(steps: DataFrame, start: float = 0.7) -> DataFrame:
-    """Intents of the last part of each run, from step floor(start * n) on."""
+def tail_mix(steps: DataFrame, start: str = "0.7") -> DataFrame:
+    """Intents of the last part of each run, from step floor(start * n) on; ``start`` is a decimal, as 0.7 in binary is below it:
+    of 90 steps it gave 62."""
     n = F.count("*").over(Window.partitionBy("run_id"))
-    late = steps.withColumn("n", n).where(F.col("step_idx") >= F.floor(F.col("n") * start))
+    late = steps.withColumn("n", n).where(F.col("step_idx") >= F.floor(F.col("n") * F.lit(Decimal(start))))
     return late.groupBy("model", "intent").agg(F.count("*").alias("n")).withColumn("share", share("n", "model"))
 
 

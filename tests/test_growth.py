@@ -1,4 +1,4 @@
-"""Files that don't grow in number with sessions."""
+"""Files that don't grow in number with sessions and decimal shares of runs."""
 
 import glob
 import json
@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from steploom.operators import marts
 from steploom.plans import transcript_files
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,8 @@ def test_folders_of_sessions(spark, tmp_path):
     assert all(int(x) % 5 == int(name.split("part=")[1].split("/")[0]) for name, ids in found.items() for x in ids)
     transcript_files.drop_parts(spark, f"file://{tmp_path}", [0, 3, 9])
     assert sorted(x for x in os.listdir(tmp_path) if x.startswith("part=")) == ["part=1", "part=2", "part=4"]
+
+
+def test_the_last_part_of_a_run_is_decimal(spark):
+    steps = spark.range(90).select(F.lit(1).alias("run_id"), F.lit("m").alias("model"), F.col("id").alias("step_idx"), F.lit("i").alias("intent"))
+    assert marts.tail_mix(steps).first().n == 27  # from step 63 on, not 62
