@@ -1,6 +1,6 @@
 """Marts kept by a stream of transcripts: each batch is labelled once, and every mart adds its part of the batch.
 
-A file is one whole session, so sessions and runs never span batches: counts of steps and of distinct runs of a batch add up
+A file holds whole sessions, so sessions and runs never span batches: counts of steps and of distinct runs of a batch add up
 to those of all files. A batch writes under its own number and is marked as done last. One that fails is run again with the
 same files and replaces what it wrote; until then nothing of it counts.
 """
