@@ -118,6 +118,12 @@ def steps(labelled: DataFrame, models: DataFrame) -> DataFrame:
     return s.select(F.col("session").alias("run_id"), "model", "step_idx", "action", F.col("result").alias("observation"), "intent", "category", "letter", "phase", "outcome")
 
 
+def runs(events: DataFrame) -> DataFrame:
+    """(run_id, model) of the sessions with calls, which are not labelled for it."""
+    called = calls(events).select("session").distinct()
+    return called.join(main_model(events), "session").select(F.col("session").alias("run_id"), "model")
+
+
 def signals(events: DataFrame, messages: DataFrame) -> DataFrame:
     """What sessions shipped: their last results count, by their text."""
     return S.ship_signals(S.with_result(calls(events), results(events, text_only=True), last=True), messages)

@@ -54,3 +54,11 @@ def test_strings_read_stored_intents(spark):
     for name in ("intent_strings", "sequence_find"):
         plan = stored_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "action" not in plan and "sequence" in plan, name
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_categories_label_the_calls_once(spark):
+    assert optimized(transcript_files.QUERIES["transcript_categories"](spark, SF)).count("Generate explode") == 2  # one intent for all, one for calls
