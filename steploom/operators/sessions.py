@@ -42,6 +42,11 @@ def messages(user_turns: DataFrame, calls: DataFrame) -> DataFrame:
     return e.withColumn("class", message_class(F.col("text"), F.col("message_index"))).select("session", "turn", "message_index", "text", "class", "steps_before", "total_steps", "progress", "bin")
 
 
+def placed(user_turns: DataFrame) -> DataFrame:
+    """User messages with their place only, as ``messages`` counts it; no calls are needed for it."""
+    return user_turns.withColumn("message_index", F.row_number().over(Window.partitionBy("session").orderBy("turn")))
+
+
 def macro_stats(rows: DataFrame, macros: dict[str, str]) -> DataFrame:
     """``message_stats`` by macros, groups of classes; messages of a class in no group are left out of all counts."""
     macro = F.create_map(*[F.lit(x) for pair in macros.items() for x in pair])
@@ -113,11 +118,12 @@ def selected(sessions: DataFrame, models: list[str] | None, prefixes: list[str],
 def ship_signals(calls: DataFrame, user: DataFrame) -> DataFrame:
     """Per session: what its shell calls shipped (last results count) and whether its user closed the matter."""
     cmd, low, seen = F.col("command"), F.lower("command"), F.lower("result")
-    shell = calls.where("name = 'bash' and command is not null")
+    shell = (F.col("name") == "bash") & cmd.isNotNull()
     fine = ~F.col("is_error")
-    yes = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
-    source = calls.where("name in ('edit', 'write')").where(~F.lower(F.coalesce("path", F.lit(""))).rlike(r"test|repro|\.md|changelog") & (F.coalesce("path", F.lit("")) != ""))
-    acts = shell.groupBy("session").agg(
+    any_of = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    yes = lambda c: any_of(shell & c)
+    source = F.col("name").isin("edit", "write") & ~F.lower(F.coalesce("path", F.lit(""))).rlike(r"test|repro|\.md|changelog") & (F.coalesce("path", F.lit("")) != "")
+    acts = calls.where(shell | source).groupBy("session").agg(  # one pass over the calls, as each has been joined with its result
         yes(cmd.rlike(PUSH) & fine & ~seen.contains("rejected") & ~seen.contains("error:")).alias("pushed"),
         yes(low.contains("gh issue close") & fine).alias("closed"),
         yes(low.contains("gh pr merge") & fine).alias("merged"),
@@ -126,6 +132,7 @@ def ship_signals(calls: DataFrame, user: DataFrame) -> DataFrame:
         yes((low.contains("gh issue comment") | low.contains("gh pr comment")) & fine).alias("commented"),
         yes(cmd.rlike(COMMIT)).alias("committed"),
         yes(cmd.rlike(COMMIT) & fine).alias("commit_ok"),
+        any_of(source).alias("source_edit"),
     )
     last = F.max_by("text", "message_index")
     said = user.groupBy("session").agg(
@@ -135,8 +142,7 @@ def ship_signals(calls: DataFrame, user: DataFrame) -> DataFrame:
         ((F.count("*") >= 2) & last.rlike(CLOSEOUT_WORDS)).alias("last_closeout"),
         ((F.count("*") >= 2) & last.rlike(BLAME_WORDS)).alias("last_blame"),
     )
-    edits = source.groupBy("session").agg(F.lit(True).alias("source_edit"))
-    out = said.join(acts, "session", "full").join(edits, "session", "full")
+    out = said.join(acts, "session", "full")
     flags = [c for c in out.columns if c not in ("session", "n_user")]
     return out.select("session", F.coalesce("n_user", F.lit(0)).alias("n_user"), *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
 

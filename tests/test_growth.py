@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from steploom.operators import marts
+from steploom.operators import sessions as S
 from steploom.plans import stored_queries, transcript_files
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,17 @@ def optimized(df):
 
 def test_categories_label_the_calls_once(spark):
     assert optimized(transcript_files.QUERIES["transcript_categories"](spark, SF)).count("Generate explode") == 2  # one intent for all, one for calls
+
+
+def test_success_reads_calls_once(spark):
+    plan = optimized(transcript_files.QUERIES["transcript_success"](spark, SF))
+    assert plan.count("Generate posexplode") == 1 and "Union" not in plan
+
+
+def test_signals_of_sessions_with_edits_or_messages_only(spark):
+    kinds = "session int, name string, path string, command string, result string, is_error boolean"
+    calls = spark.createDataFrame([(1, "edit", "/a.ts", None, "", False), (2, "bash", None, "git push", "", None), (3, "read", "/a.ts", None, "", False), (4, "write", "/test.ts", None, "", False)], kinds)
+    said = S.placed(spark.createDataFrame([(5, 7, "b"), (5, 3, "a"), (5, 9, "looks good")], "session int, turn int, text string"))
+    assert [(r.turn, r.message_index) for r in said.orderBy("turn").collect()] == [(3, 1), (7, 2), (9, 3)]
+    found = {r.session: (r.n_user, r.pushed, r.source_edit, r.last_closeout) for r in S.ship_signals(calls, said).collect()}
+    assert found == {1: (0, False, True, False), 2: (0, False, False, False), 5: (3, False, False, True)}
