@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from . import splits
 
 _CALL = "struct<function:struct<arguments:string>>"
@@ -76,7 +77,8 @@ def transcript_lines(spark: SparkSession, root: str | list[str], pattern: str =
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.select("path", "line_no", "line", F.from_json("line", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}).alias("e"))
+    event = F.from_json("line", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    return lines.select("path", "line_no", "line", once(event).alias("e"))  # else the filter on broken lines parses each line again
 
 
 def transcripts(spark: SparkSession, root: str | list[str], strict: bool = False, pattern: str = "*.jsonl") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from steploom.operators import marts
 from steploom.operators import sessions as S
 from steploom.plans import stored_queries, transcript_files
+from steploom.sources import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,10 @@ def test_signals_of_sessions_with_edits_or_messages_only(spark):
     assert [(r.turn, r.message_index) for r in said.orderBy("turn").collect()] == [(3, 1), (7, 2), (9, 3)]
     found = {r.session: (r.n_user, r.pushed, r.source_edit, r.last_closeout) for r in S.ship_signals(calls, said).collect()}
     assert found == {1: (0, False, True, False), 2: (0, False, False, False), 5: (3, False, False, True)}
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"type": "session"}\n{"ty\n\n{"type": "note"}\n')
+    read = ingest.transcripts(spark, f"file://{tmp_path}")
+    assert optimized(read).count("from_json") == 1
+    assert [(r.line_no, r.type) for r in read.orderBy("line_no").collect()] == [(0, "session"), (3, "note")]
