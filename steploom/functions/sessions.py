@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .dims import CONFIG_FILES
 from .intents import TEST_FILE, script_intent, snippet_intent, with_intent
-from .text import basename, first_line, git_subcommand, has, ladder, once, script_name, starts, strip, strip_wrappers, text, unwrap_command
+from .text import basename, bind, first_line, git_subcommand, has, ladder, once, script_name, starts, strip, strip_wrappers, text, unwrap_command
 
 ISSUE_URL = r"https://github\.com/[^\s\)\]]+/(issues|pull|pulls)/(\d+)"
 #: Git subcommands of each session intent.
@@ -35,11 +35,15 @@ def normalize_model(name: Column) -> Column:
 
 def meaningful_command(command: Column) -> Column:
     """A shell command without blank lines, lines of mere set-up, and a lone leading cd."""
-    bare = strip_wrappers(unwrap_command(command))
-    lines = F.transform(F.split(bare, "\r?\n"), strip)
-    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(WRAPPER_LINE))
-    led = (F.size(kept) > 1) & text(F.get(kept, F.lit(0))).startswith("cd ") & ~text(F.get(kept, F.lit(0))).contains("&&")
-    return F.when(F.size(kept) == 0, strip(bare)).when(led, strip(F.array_join(F.slice(kept, 2, 2**20), "\n"))).otherwise(strip(F.array_join(kept, "\n")))
+
+    def of_lines(bare: Column, kept: Column) -> Column:
+        first = text(F.get(kept, F.lit(0)))
+        led = (F.size(kept) > 1) & first.startswith("cd ") & ~first.contains("&&")
+        return strip(F.when(F.size(kept) == 0, bare).when(led, F.array_join(F.slice(kept, 2, 2**20), "\n")).otherwise(F.array_join(kept, "\n")))
+
+    lines = lambda bare: F.transform(F.split(bare, "\r?\n"), strip)
+    kept = lambda bare: F.filter(lines(bare), lambda x: (x != "") & ~x.rlike(WRAPPER_LINE))
+    return bind(strip_wrappers(unwrap_command(command)), lambda bare: bind(kept(bare), lambda k: of_lines(bare, k)))
 
 
 def with_tool_intent(calls: DataFrame, out: str = "intent", action: str | None = None) -> DataFrame:

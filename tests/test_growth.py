@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from steploom.functions.sessions import meaningful_command
 from steploom.operators import marts
 from steploom.operators import sessions as S
 from steploom.plans import stored_queries, transcript_files
@@ -85,3 +86,10 @@ def test_lines_are_parsed_once(spark, tmp_path):
     read = ingest.transcripts(spark, f"file://{tmp_path}")
     assert optimized(read).count("from_json") == 1
     assert [(r.line_no, r.type) for r in read.orderBy("line_no").collect()] == [(0, "session"), (3, "note")]
+
+
+def test_commands_are_split_once(spark):
+    rows = ["cd /r\nls", "set -e\n\ncd /r && ls", "set -e", "A=1\nfi", "cd /r", " ls \r\n then", ""]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(rows)], "k int, c string").select("k", meaningful_command(F.col("c")).alias("m"))
+    assert optimized(df).count("fi|do|done") == 1
+    assert [r.m for r in df.orderBy("k").collect()] == ["ls", "cd /r && ls", "set -e", "fi", "cd /r", "ls", ""]
