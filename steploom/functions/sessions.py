@@ -137,13 +137,13 @@ def with_tool_intent(calls: DataFrame, out: str = "intent", action: str | None =
 #: What user messages of each class say.
 TASK_BRIEF = r"(?i)^(?:analyze github issue\(s\):|\"?/is https://github\.com/.+/issues/\d+)|for each issue:|read the issue in full|do not implement unless explicitly asked"
 WORKFLOW = (
-    r"(?i)\bcommit and push\b|\bcommit an dpush\b|\bcommit with(?: closes| #closes)?(?:, push)?\b|\bcommit the files\b|\bready to commit\b|^commit\b|^push\b|\bclose issue\b|\bclose the issue\b|"
-    r"\bleave a comment(?: on the issue)?\b|\bin my tone\b|\badd a changelog entry\b|\bchangelog entry\b|\bCHANGELOG\.md\b|\bchangelog\b|\bdocs? in @\b|\bdocs? are in @\b|\bdocs? up-to-date\b|"
-    r"\bmerge(?: into main| to main| via gh cli)?\b|\bwrap it\b|\bjust update docs\b"
+    r"(?i)\b(?:commit and push|commit an dpush|commit with(?: closes| #closes)?(?:, push)?|commit the files|ready to commit|close issue|close the issue|"
+    r"leave a comment(?: on the issue)?|in my tone|add a changelog entry|changelog entry|CHANGELOG\.md|changelog|docs? in @|docs? are in @|docs? up-to-date|merge(?: into main| to main|"
+    r" via gh cli)?|wrap it|just update docs)\b|^commit\b|^push\b"
 )
 EVIDENCE = (
-    r"(?i)^➜|^/var/folders/|^/Users/|screenshot\\|still ?get the crash|stillget the crash|seeing this|now i get this|git:\(|node packages/|pi-test\.sh|failed to load extension|throw new Error|"
-    r"ERR_MODULE_NOT_FOUND|SyntaxError:|ENOENT:|the other folder is|different impl in|same file you modified in this clone|^ffb647c$|^https://agentskills\.io/|^https://github\.com/"
+    r"(?i)^(?:➜|/var/folders/|/Users/|ffb647c$|https://agentskills\.io/|https://github\.com/)|screenshot\\|still ?get the crash|stillget the crash|seeing this|now i get this|git:\(|node packages/|pi-test\.sh|"
+    r"failed to load extension|throw new Error|ERR_MODULE_NOT_FOUND|SyntaxError:|ENOENT:|the other folder is|different impl in|same file you modified in this clone"
 )
 VALIDATION = r"(?i)\b(?:test it|how can i test|run the test|run the specific test|execute it|try locall|can i test|what are the changes\?|looks good|lgtm|works fine|seems to work|test works\?|sleep for \d+ seconds)\b"
 CRITIQUE = (
@@ -152,10 +152,10 @@ CRITIQUE = (
 )
 AUTHORIZE = r"(?i)\b(?:implement|make the change|do it|fix it|fix this|go to town|apply the fix|continue|ok, fix|ok, please implement|ok, implement|can you just implement it properly)\b"
 STEER = (
-    r"(?i)\bwe need\b|\bwe should\b|\bi think we should\b|\bcan we\b|\bwhy not\b|\bno backward compatibility\b|\bonly add\b|\bremove the\b|\bremove that file\b|\bwhat about\b|\bwhat baout\b|\bany reason\b|"
-    r"\bproblem:\b|\bnot ideal\b|\bok, then lets\b|\bok, then let's\b|\bshould be\b|\bmust also\b|\bmust be\b|\bshould rename\b|\bshould use\b|\badd a test\b|\bset up a minimal test\b|\bcheck if\b|"
-    r"\buse dynamic import\b|\bjust use\b|\bjust implement\b|\bswitch to that\b|\bkill that\b|\ball we need\b|\bthat too\b|\bmodify the\b|\bupdate the\b|@packages/|<skill |baseUrl\.|model\.id\.includes|"
-    r"XHIGH_MODELS|ENV_AGENT_DIR|^const |^// |^\+\d+|^f afterEach|^skills\?:|^declare module"
+    r"(?i)\b(?:we need|we should|i think we should|can we|why not|no backward compatibility|only add|remove the|remove that file|what about|what baout|any reason|problem:|not ideal|"
+    r"ok, then lets|ok, then let's|should be|must also|must be|should rename|should use|add a test|set up a minimal test|check if|use dynamic import|just use|just implement|"
+    r"switch to that|kill that|all we need|that too|modify the|update the)\b|@packages/|<skill |baseUrl\.|model\.id\.includes|XHIGH_MODELS|ENV_AGENT_DIR|^const |^// |^\+\d+|"
+    r"^f afterEach|^skills\?:|^declare module"
 )
 DETAILS = ("should", "instead", "@packages/", "model selector", "wraps the", "use ")
 #: A user ends an issue.
@@ -175,7 +175,10 @@ BLAME_WORDS = (
 
 def message_class(message: Column, index: Column) -> Column:
     """One of seven classes of a user message, from its text and its place among the session's user messages."""
-    s = strip(F.regexp_replace(text(message), r"\s+", " "))
+    return bind(strip(F.regexp_replace(text(message), r"\s+", " ")), lambda s: _class(s, index))
+
+
+def _class(s: Column, index: Column) -> Column:
     low, steering = F.lower(s), s.rlike(STEER)
     detailed = (steering | (F.length(s) > 220)) & has(low, *DETAILS)
     return ladder(
@@ -185,8 +188,7 @@ def message_class(message: Column, index: Column) -> Column:
             (s.rlike(VALIDATION) & ~s.rlike(WORKFLOW), "validation_request"),
             (s.rlike(WORKFLOW), "workflow_closeout"),
             (s.rlike(CRITIQUE), "qa_or_critique"),
-            (s.rlike(AUTHORIZE) & detailed, "solution_steer"),
-            (s.rlike(AUTHORIZE), "authorize_work"),
+            (s.rlike(AUTHORIZE), F.when(detailed, "solution_steer").otherwise("authorize_work")),
             (steering, "solution_steer"),
             (index == 1, "task_brief"),
         ],

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from steploom.functions.sessions import meaningful_command
+from steploom.functions.sessions import meaningful_command, message_class
 from steploom.operators import marts
 from steploom.operators import sessions as S
 from steploom.plans import stored_queries, transcript_files
@@ -93,3 +93,15 @@ def test_commands_are_split_once(spark):
     df = spark.createDataFrame([(k, c) for k, c in enumerate(rows)], "k int, c string").select("k", meaningful_command(F.col("c")).alias("m"))
     assert optimized(df).count("fi|do|done") == 1
     assert [r.m for r in df.orderBy("k").collect()] == ["ls", "cd /r && ls", "set -e", "fi", "cd /r", "ls", ""]
+
+
+def test_messages_are_normalised_once(spark):
+    rows = {
+        "We  should go": "solution_steer", "xwe should go": "task_brief", "see @packages/": "solution_steer", "the Changelog": "workflow_closeout", "changelogs": "task_brief", "commit": "workflow_closeout",
+        "docs in @x": "workflow_closeout", "problem: x": "task_brief", "FFB647C": "evidence_or_repro", "a ffb647c": "task_brief", "fix it": "authorize_work", "fix it, we need use ": "authorize_work",
+        "fix it, we should use this": "solution_steer", "lgtm": "validation_request",
+    }
+    df = spark.createDataFrame([(k, m) for k, m in enumerate(rows)], "k int, m string").select("k", message_class(F.col("m"), F.lit(1)).alias("c"))
+    plan = optimized(df)
+    assert plan.count("regexp_replace") == 2 and r"\bcan we\b" not in plan
+    assert [r.c for r in df.orderBy("k").collect()] == list(rows.values())
